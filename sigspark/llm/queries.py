@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import bpe_trie, decontaminate, sharding, simhash, token_count
+from sigspark.llm import bpe_trie, decontaminate, flac, sharding, simhash, token_count
 from sigspark.llm.common import table, text_or_empty
 
 #: Where the tokenizers' files are; a parameter of the operators.
@@ -18,6 +18,11 @@ SHARDS = 16
 TOKEN_LIMIT = 2048
 
 
+def op1_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = flac.store(table(spark, sf_dir, "documents"))
+    return flac.features(stored, keep=("doc_id", "n_bytes"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.judged(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated")
@@ -42,5 +47,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_decontaminate, op5_shards, op7_bpe, op9_token_counts, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_flac, op4_decontaminate, op5_shards, op7_bpe, op9_token_counts, op10_simhash)}
 ORACLE: dict[str, str] = {}
