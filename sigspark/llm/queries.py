@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import bpe_trie, decontaminate, flac, sharding, simhash, token_count
+from sigspark.llm import bpe_trie, decontaminate, flac, langid, sharding, simhash, token_count, url_filter
 from sigspark.llm.common import table, text_or_empty
 
 #: Where the tokenizers' files are; a parameter of the operators.
@@ -23,6 +23,14 @@ def op1_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.features(stored, keep=("doc_id", "n_bytes"))
 
 
+#: Longest match wins; the rest is the model's.
+RULES = [url_filter.Rule("org", "/", True), url_filter.Rule("example.org", "/es/", False), url_filter.Rule("example.org", "/en/1", False), url_filter.Rule("com", "/fr/", True), url_filter.Rule("com", "/de/", False)]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.judged(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated")
@@ -39,6 +47,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.expr("octet_length(token_ids) div 4").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out())
+    model = langid.train(docs.where("not held_out"))
+    return langid.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), COUNTER).withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
@@ -47,5 +61,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_flac, op4_decontaminate, op5_shards, op7_bpe, op9_token_counts, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_flac, op2_url_filter, op4_decontaminate, op5_shards, op7_bpe, op8_langid, op9_token_counts, op10_simhash)}
 ORACLE: dict[str, str] = {}
