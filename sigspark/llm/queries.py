@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import bpe_trie, decontaminate, flac, langid, sharding, simhash, token_count, url_filter
+from sigspark.llm import bpe_trie, decontaminate, flac, langid, sharding, simhash, token_count, url_filter, warc
 from sigspark.llm.common import table, text_or_empty
 
 #: Where the tokenizers' files are; a parameter of the operators.
@@ -42,6 +42,13 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    read = warc.lookup(pages.select("url"), warc.write(pages))
+    as_key = lambda c: F.col(c).cast(pages.schema["page_id"].dataType)
+    return read.select(as_key("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", as_key("refers_to").alias("refers_to"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe_trie.transcode(table(spark, sf_dir, "documents"), TOKENIZER)
     return coded.select("doc_id", F.expr("octet_length(token_ids) div 4").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
@@ -61,5 +68,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_flac, op2_url_filter, op4_decontaminate, op5_shards, op7_bpe, op8_langid, op9_token_counts, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_flac, op2_url_filter, op4_decontaminate, op5_shards, op6_warc, op7_bpe, op8_langid, op9_token_counts, op10_simhash)}
 ORACLE: dict[str, str] = {}
