@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import bpe_trie, decontaminate, flac, langid, sharding, simhash, token_count, url_filter, warc
+from sigspark.llm import bpe_trie, decontaminate, dom_crf, flac, langid, sharding, simhash, token_count, url_filter, warc
 from sigspark.llm.common import table, text_or_empty
 
 #: Where the tokenizers' files are; a parameter of the operators.
@@ -31,6 +31,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dom_crf.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.judged(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated")
@@ -68,5 +72,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_flac, op2_url_filter, op4_decontaminate, op5_shards, op6_warc, op7_bpe, op8_langid, op9_token_counts, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_flac, op2_url_filter, op3_main_text, op4_decontaminate, op5_shards, op6_warc, op7_bpe, op8_langid, op9_token_counts, op10_simhash)}
 ORACLE: dict[str, str] = {}
