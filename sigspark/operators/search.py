@@ -65,9 +65,8 @@ def samples(s: TraceSet, name: str, at: DataFrame) -> DataFrame:
 
 def held_dense(s: TraceSet, *names: str) -> DataFrame:
     """A row for each trace and index with every signal's held value (unknown is 0)."""
-    exprs = {n: sig(n) for n in names}
-    df = evaluated(s, **exprs)
-    return df.select("trace_id", F.explode(F.sequence("idx", F.col("end_idx") - 1)).alias("idx"), *names)
+    df = evaluated(s, **{f"x{i}": sig(n) for i, n in enumerate(names)})
+    return df.select("trace_id", F.explode(F.sequence("idx", F.col("end_idx") - 1)).alias("idx"), *[F.col(f"x{i}").alias(n) for i, n in enumerate(names)])
 
 
 def fold_signal(s: TraceSet, name: str, kind: str = "sum", stop: Expr | None = None, start: int = 0) -> DataFrame:
@@ -95,6 +94,6 @@ def fold_ordered(s: TraceSet, name: str, zero, merge, start: int = 0) -> DataFra
 
 def align(s: TraceSet, left: str, right: str, name: str) -> DataFrame:
     """Two traces by index: (idx, left, right), the shorter one held at its end."""
-    a, b = (held_dense(s.only(t), name).select("idx", F.col(name).alias(side)) for t, side in ((left, "left_value"), (right, "right_value")))
+    a, b = (held_dense(s.only(t), name).select("idx", F.col(f"`{name}`").alias(side)) for t, side in ((left, "left_value"), (right, "right_value")))
     both = a.join(b, "idx", "full").withColumn("axis", F.lit(0))
     return hold(both, ["axis"], "idx", ["left_value", "right_value"], 1 << 18).select("idx", "left_value", "right_value")
