@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sigspark.llm import bpe_trie, decontaminate, dom_crf, flac, langid, sharding, simhash, token_count, url_filter, warc
 from sigspark.llm.common import table, text_or_empty
+from sigspark.llm.oracle import ORACLE as ORACLE
 
 #: Where the tokenizers' files are; a parameter of the operators.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -73,4 +74,3 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_flac, op2_url_filter, op3_main_text, op4_decontaminate, op5_shards, op6_warc, op7_bpe, op8_langid, op9_token_counts, op10_simhash)}
-ORACLE: dict[str, str] = {}
