@@ -56,6 +56,10 @@ def grams(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.nd
         for n in range(ORDERS):
             h = (h ^ np.concatenate([codes[n:], np.full(n, 32, np.uint32)])) * np.uint32(2654435761) + np.uint32(n + 1)
             out[n] = (h ^ h >> np.uint32(15)) * np.uint32(2246822519) >> np.uint32(32 - HASH_BITS)
+        # an n-gram that begins in the spaces after a text holds nothing but spaces
+        ends = np.append(begins[1:], len(codes))
+        for k in range(ORDERS - 1):
+            out[:, ends - 1 - k] = out[:, ends - ORDERS]
         yield at, end, out, begins, some
         at = end
 
