@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigspark.llm import bpe_trie, decontaminate, langid, simhash
-from sigspark.llm.common import shared_folder, table
+from sigspark.llm.common import apart, cut, shared_folder, table
 from sigspark.llm.queries import TOKENIZER
 
 #: Least calibrated probability of the predicted language: below it, no language is more likely than the rest together.
@@ -20,25 +20,33 @@ LEAST_SCORE = 0.4
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters (null texts among them) and those whose language stays unclear; the model learns from four fifths of docs."""
     model = langid.train(docs.where(~langid.held_out()))
-    return langid.predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    named, own = apart(docs, ("lang_pred", "score"))
+    return langid.predict(named, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*own)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of every component of linked fingerprints the document with the smallest doc_id; of rows that repeat it, one.
+    """Keeps of every component of linked fingerprints the document with the smallest doc_id; of rows with equal doc_id and text, one.
 
-    Rows without a doc_id stay, as nothing names them.
+    Rows that share the smallest doc_id but not the text all stay, and so do rows without a doc_id, as nothing tells
+    them apart.
     """
-    groups = simhash.near_duplicates(docs.where("doc_id is not null"))
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    named, own = apart(docs, ("text_key", "fp"))
+    named = named.withColumn("text_key", F.xxhash64("text"))
+    known, key = named.where("doc_id is not null"), ["doc_id", "text_key"]
+    groups = cut(simhash.near_duplicates(known, keep=("text_key",)))
+    gone = groups.where("doc_id <> component_id").select(*key).distinct()
+    again = cut(groups.where("doc_id = component_id").groupBy(*key).count().where("count > 1").select(*key))
+    kept = known.join(gone, key, "left_anti")
+    if again.take(1):  # only what is there more than once is shuffled with its texts
+        kept = kept.join(again, key, "left_anti").unionByName(kept.join(again, key, "left_semi").dropDuplicates(key))
+    return kept.unionByName(named.where("doc_id is null")).select(*own)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops contaminated documents."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    found = decontaminate.judged(decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), keep=("text", *rest)))
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    named, own = apart(docs, ("n_words", "spans", "items", "_spans", "_items", "n_hit", "n_items", "contaminated"))
+    found = decontaminate.judged(decontaminate.contamination(named, table(spark, sf_dir, "benchmark"), keep=tuple(named.columns)))
+    return found.where(~F.col("contaminated")).select(*own)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

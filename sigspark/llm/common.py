@@ -108,3 +108,18 @@ def small_batches(spark: SparkSession) -> None:
 
 def text_or_empty(col: str) -> F.Column:
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def apart(df: DataFrame, reserved: tuple[str, ...]) -> tuple[DataFrame, list[F.Column]]:
+    """df with columns of reserved names renamed, and the columns that give df's own back from what was made of it."""
+    taken = {c.lower() for c in df.columns} | {r.lower() for r in reserved}
+    back, out = [], []
+    for c in df.columns:
+        name = c
+        if c.lower() in {r.lower() for r in reserved}:
+            while name.lower() in taken:
+                name = f"own_{name}"
+            taken.add(name.lower())
+        out.append(F.col(f"`{c}`").alias(name))
+        back.append(F.col(f"`{name}`").alias(c))
+    return df.select(*out), back

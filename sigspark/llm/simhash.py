@@ -231,18 +231,18 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 3, shingle: int = 3, seed: int = 42, bucket: int = BUCKET) -> DataFrame:
-    """Per row of df: key, `fingerprint` (16 lowercase hex digits) and `component_id`.
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 3, shingle: int = 3, seed: int = 42, bucket: int = BUCKET, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of df: key, the columns `keep`, `fingerprint` (16 lowercase hex digits) and `component_id`.
 
     component_id is the smallest key that is reached over links of at most `radius` differing bits. Null
     texts and texts without words have fingerprint 0 and link like others. Equal fingerprints are
     merged before anything is compared, so copies cost no comparisons. Null keys count in no
     minimum; rows whose component has no other key get null. An empty df gives an empty result.
     """
-    prints = cut(fingerprints(df, text, (key,), shingle, seed))
+    prints = cut(fingerprints(df, text, (key, *keep), shingle, seed))
     nodes = cut(prints.groupBy("fp").agg(F.min(key).alias("least")))
     roots = components(links(nodes, radius, bucket))
     rooted = cut(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     named = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     table = cut(rooted.join(named, "root").select("fp", "component_id"))
-    return prints.join(table, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return prints.join(table, "fp").select(key, *keep, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
