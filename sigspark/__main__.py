@@ -1,8 +1,8 @@
 """Command line: an expression, a script, or an interactive loop.
 
     python -m sigspark '(+ 1 2)' -l dump.vcd
-    python -m sigspark script.wal -l dump.vcd
-    python -m sigspark run script.wal -c '(expression)'
+    python -m sigspark script -l dump.vcd
+    python -m sigspark run script -c '(expression)'
     python -m sigspark repl
 """
 
@@ -13,8 +13,8 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from sigspark.lang.interp import FORMS, SPECIAL, Interpreter
 from sigspark.lang.builtins import TABLE
+from sigspark.lang.interp import FORMS, SPECIAL, Interpreter
 from sigspark.lang.reader import ReadError, read_all, show
 from sigspark.lang.values import LangError
 from sigspark.session import Session
