@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from sigspark.operators.held import hold
+from sigspark.operators.indexing import global_index
 
 TRACES = "trace_id string, file string, load_order int, timescale_exp int, version string, date string, max_index bigint"
 SCOPES = "trace_id string, path string, parent string, kind string, depth int"
@@ -93,7 +94,7 @@ def _filled(changes: DataFrame, kind: str) -> DataFrame:
 def _signals(changes: DataFrame, kind: str) -> DataFrame:
     names = changes.select("trace_id", "name").distinct()
     kinds = {"int": "integer", "real": "real", "str": "string"}
-    return names.select("trace_id", F.xxhash64("name").cast("int").alias("sig_id"), "name", F.element_at(F.split("name", "\\."), -1).alias("short"), F.regexp_extract("name", "^(.*)\\.[^.]*$", 1).alias("scope"), F.lit(64).alias("width"), F.lit(kinds[kind]).alias("var_type"), F.col("name").alias("id_code"), F.lit(False).alias("is_event"), F.lit(0).alias("decl_order"))
+    return names.select("trace_id", F.hash("name").alias("sig_id"), "name", F.element_at(F.split("name", "\\."), -1).alias("short"), F.regexp_extract("name", "^(.*)\\.[^.]*$", 1).alias("scope"), F.lit(64).alias("width"), F.lit(kinds[kind]).alias("var_type"), F.col("name").alias("id_code"), F.lit(False).alias("is_event"), F.lit(0).alias("decl_order"))
 
 
 def _built(axis: DataFrame, changes: DataFrame, kind: str, kinds: dict[str, str], bucket: int | None, signals: DataFrame | None = None) -> TraceSet:
@@ -122,6 +123,14 @@ def from_long(df: DataFrame, trace: str, order: list[str], signal: str, value: s
     return _built(rows, changes, kind, {}, None)
 
 
+def from_long_global(df: DataFrame, trace_id: str, order: list[str], signal: str, value: str, ts: str | None = None, kind: str = "real", bucket: int = 1 << 18) -> TraceSet:
+    """As from_long, with all rows in one trace; its axis and its windows are spread over tasks."""
+    rows = global_index(df, order).withColumn("trace_id", F.lit(trace_id))
+    rows = rows.withColumn("ts", _ts(ts, df) if ts else F.col("idx"))
+    changes = rows.select("trace_id", F.col(signal).alias("name"), "idx", "ts", F.lit(0).cast("long").alias("seq"), F.col(value).cast({"int": "long", "real": "double", "str": "string"}[kind]).alias(VALUE[kind]))
+    return _built(rows, changes, kind, {}, bucket)
+
+
 def from_wide(df: DataFrame, trace: str, order: list[str], signals: dict[str, tuple[str, str]], ts: str | None = None) -> TraceSet:
     """A row is one index; signals: name -> (column, kind), each with a change at every index."""
     rows = index_rows(df, trace, order)

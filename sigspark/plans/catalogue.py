@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sigspark.functions import scalar as S
-from sigspark.model import TraceSet, from_long, from_wide, trimmed
+from sigspark.model import TraceSet, from_long, from_long_global, from_wide, trimmed
 from sigspark.operators import bus, scopes, search
 from sigspark.operators.held import suppress_repeats
 from sigspark.timeexpr import INDEX, TS, Expr, all_of, any_of, evaluated, falling, rising, sig
@@ -647,3 +647,70 @@ def except_idx(spark, d):
 def nth_change(spark, d):
     s = ev(spark, d)
     return s.changes.select("trace_id", F.col("name").alias("event_type"), "idx", F.row_number().over(Window.partitionBy("trace_id", "name").orderBy("idx")).cast("long").alias("nth"))
+
+
+# -- one trace over all rows, dumps, the language ----------------------------------------------------------
+
+EVG = """WITH ev AS (SELECT event_type, floor(value) AS value, row_number() OVER (ORDER BY ts, event_id) - 1 AS idx FROM events),
+d AS (SELECT idx, """ + ", ".join(f"coalesce(last_value(CASE WHEN event_type = '{e}' THEN value END IGNORE NULLS) OVER w, 0) AS {e}" for e in EVENTS) + """ FROM ev WINDOW w AS (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) """
+
+
+def evg(spark: SparkSession, d: str) -> TraceSet:
+    """Events: one trace of all users, whole values."""
+    t = table(spark, d, "events").select("event_id", "ts", "event_type", F.floor("value").alias("value"))
+    return from_long_global(t, "all", ["ts", "event_id"], "event_type", "value", "ts", "int", 1000)
+
+
+@query(EVG + "SELECT count(*) FILTER (WHERE click > 40 AND view > 40) AS n0, count(*) FILTER (WHERE error = 0) AS n1 FROM d")
+def count_global(spark, d):
+    return search.count(evg(spark, d), (sig("click") > 40) & (sig("view") > 40), sig("error") == 0)
+
+
+@query(EVG + "SELECT idx FROM (SELECT idx, click, lag(click) OVER (ORDER BY idx) AS was FROM d) WHERE click > 90 AND was <= 90")
+def find_global_edges(spark, d):
+    high = (sig("click") > 90).map(lambda c: c.cast("int"), "int")
+    return search.find(evg(spark, d), rising(high))
+
+
+@query(EVG + "SELECT 'top.' || event_type AS name, idx, CAST(value AS BIGINT) AS value FROM (SELECT *, lag(value) OVER (PARTITION BY event_type ORDER BY idx) AS was FROM ev) WHERE was IS DISTINCT FROM value")
+def vcd_roundtrip(spark, d):
+    """Written as a dump and read back: every change of value, at its index."""
+    from sigspark.sources.sink import vcd_lines, write_vcd
+    from sigspark.sources.vcd import read_vcd
+    from sigspark.storage import shared_folder
+
+    s = evg(spark, d)
+    path = f"{shared_folder(spark, 'dump')}.vcd"
+    values = s.changes.select("idx", "name", F.bin("ival").alias("bits"))
+    write_vcd(vcd_lines(values, s.timestamps.select("idx", "ts"), [(e, 64, "integer") for e in EVENTS]), path)
+    return read_vcd(spark, path).changes.select("name", "idx", F.col("ival").alias("value"))
+
+
+PROGRAM = """
+(defun high [x] (> x 40))
+(defmacro both [a b] `(&& ,a ,b))
+(define n 0)
+(whenever (high click) (if (= view@1 error) (set! n (+ n click))))
+(list (count (both (high click) (high view))) (length (find (!= click@-1 click))) n (first (find (> purchase 90) 1)))
+"""
+
+
+@query(EVG + ", r AS (SELECT *, lead(view) OVER (ORDER BY idx) AS view_n1, lag(click) OVER (ORDER BY idx) AS click_p1 FROM d) SELECT count(*) FILTER (WHERE click > 40 AND view > 40) AS a, count(*) FILTER (WHERE click_p1 IS DISTINCT FROM click) AS b, CAST(coalesce(sum(CASE WHEN click > 40 AND view_n1 = error THEN click END), 0) AS BIGINT) AS c, min(CASE WHEN purchase > 90 THEN idx END) AS d FROM r")
+def lang_eval(spark, d):
+    """A program of functions, macros, searches and updates over the trace of all events."""
+    from sigspark.lang.interp import Interpreter
+    from sigspark.session import Session
+
+    run = Interpreter(Session(spark))
+    run.session.attach("all", evg(spark, d).cached())
+    return spark.createDataFrame([tuple(run.run(PROGRAM))], "a long, b long, c long, d long")
+
+
+@query("SELECT '(if (> x 0) (do (print x) (print x)) nil)' AS form")
+def macro_expand(spark, d):
+    from sigspark.lang.interp import Interpreter
+    from sigspark.lang.reader import show
+    from sigspark.session import Session
+
+    form = Interpreter(Session(spark)).run("(defmacro twice-if [c a] `(if ,c (do ,a ,a) nil)) (macroexpand '(twice-if (> x 0) (print x)))")
+    return spark.createDataFrame([(show(form),)], "form string")
