@@ -17,9 +17,9 @@ def find_by_trace(s: TraceSet, cond: Expr) -> DataFrame:
     return hit.select("trace_id", F.explode(F.sequence("idx", F.col("end_idx") - 1)).alias("idx"))
 
 
-def find(s: TraceSet, cond: Expr, limit: int | None = None) -> DataFrame:
-    """Distinct indices over all traces, ascending; at most `limit`."""
-    out = find_by_trace(s, cond).select("idx").distinct().orderBy("idx")
+def find(s: TraceSet, cond: Expr, limit: int | None = None, from_index: int = 0) -> DataFrame:
+    """Distinct indices over all traces, ascending, from an index on; at most `limit`."""
+    out = find_by_trace(s, cond).where(F.col("idx") >= from_index).select("idx").distinct().orderBy("idx")
     return out if limit is None else out.limit(limit)
 
 

@@ -152,6 +152,15 @@ def sig(name: str, kind: str = "int") -> Expr:
     return Expr(lambda at: at.value(name), frozenset({(name, 0)}), kind)
 
 
+#: Marks a reference to whether a signal's value is known, in place of the value.
+KNOWN = "\0"
+
+
+def known(name: str) -> Expr:
+    """Whether the held value has no unknown bits; with it a condition can leave unknown values out: `known(s) & (sig(s) != 1)`."""
+    return Expr(lambda at: at.value(KNOWN + name), frozenset({(KNOWN + name, 0)}), "bool")
+
+
 INDEX = Expr(lambda at: at.index(), frozenset(), "int", True)
 TS = Expr(lambda at: at.time(), frozenset(), "int", True, True)
 
@@ -194,16 +203,17 @@ def frame(s: TraceSet, *exprs: Expr) -> tuple[DataFrame, At]:
     axis = s.traces.select("trace_id", "max_index")
     parts = [axis.select("trace_id", F.explode(F.array_distinct(F.array(*edges))).alias("idx"), "max_index").where("idx between 0 and max_index")]
     if read:
-        names = sorted({n for n, _ in read})
-        changes = s.changes.where(F.col("name").isin(names)).select("trace_id", "name", "idx", "seq", *sorted({s.value(n) for n in names}))
+        plain = lambda n: n.removeprefix(KNOWN)
+        names = sorted({plain(n) for n, _ in read})
+        changes = s.changes.where(F.col("name").isin(names)).select("trace_id", "name", "idx", "seq", *sorted({s.value(n) for n in names} | ({"ival_strict"} if any(n != plain(n) for n, _ in read) else set())))
         if pulses := s.pulses & set(names):  # an event is 1 at its index only
             ends = changes.where(F.col("name").isin(sorted(pulses))).withColumn("idx", F.col("idx") + 1).withColumn("seq", F.lit(-1).cast("long")).withColumn("ival", zero)
             changes = changes.unionByName(ends)
-        shifts = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(k).alias("k"), F.lit(i).alias("i")) for i, (n, k) in enumerate(read)])
+        shifts = F.array(*[F.struct(F.lit(plain(n)).alias("n"), F.lit(k).alias("k"), F.lit(i).alias("i")) for i, (n, k) in enumerate(read)])
         moved = changes.select("*", F.explode(F.filter(shifts, lambda x: x["n"] == F.col("name"))).alias("m")).withColumn("at", F.col("idx") - F.col("m.k"))
         cols = []
         for i, (n, _) in enumerate(read):
-            cols.append(F.when(F.col("m.i") == i, F.struct(F.col("idx"), F.col("seq"), F.col(s.value(n)).alias("v"))).alias(f"s{i}"))
+            cols.append(F.when(F.col("m.i") == i, F.struct(F.col("idx"), F.col("seq"), (F.col(s.value(n)) if n == plain(n) else F.col("ival_strict").isNotNull()).alias("v"))).alias(f"s{i}"))
         parts.append(moved.select("trace_id", F.greatest(F.col("at"), zero).alias("idx"), F.lit(None).cast("long").alias("max_index"), *cols))
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], True)
     points = rows.groupBy("trace_id", "idx").agg(F.max("max_index").alias("max_index"), *[F.max(f"s{i}")["v"].alias(f"v{i}") for i in range(len(read))])
@@ -211,6 +221,8 @@ def frame(s: TraceSet, *exprs: Expr) -> tuple[DataFrame, At]:
     filled = filled.where("idx <= max_index").withColumn("end_idx", F.least(F.coalesce("end_idx", F.col("max_index") + 1), F.col("max_index") + 1))
 
     def held(name: str, offset: int) -> Column:
+        if name.startswith(KNOWN):
+            return F.coalesce(F.col(number[name, offset]), F.lit(False))
         unknown = {"ival": F.lit(0).cast("long"), "rval": F.lit(0.0), "bits": F.lit("x")}[s.value(name)]
         return F.coalesce(F.col(number[name, offset]), unknown)
 

@@ -7,7 +7,7 @@ import pytest
 from sigspark.operators import search
 from sigspark.session import Session, detect_format
 from sigspark.sources import fst, sink, synthetic, vcd
-from sigspark.timeexpr import sig
+from sigspark.timeexpr import known, sig
 
 SMALL = """$date today $end
 $timescale
@@ -71,6 +71,9 @@ def test_small(spark, small):
     assert d[1]["top.wide"] == -1
     assert [r.idx for r in search.find(s, sig("top.ping") == 1).collect()] == [1, 4]
     assert search.sample_at(s, "top.temp", 3).first().value == 3.5
+    rst = "top.sub.rst"
+    assert search.count(s, sig(rst) == 0, known(rst), known(rst) & (sig(rst) == 0), known(rst).at(1), ~known("top.clk")).first()[:] == (5, 1, 1, 1, 0)
+    assert [r.idx for r in search.find(s, sig("top.clk") == 1, 2, from_index=2).collect()] == [2, 3]
     strict = {(r.idx, r.name): r.ival_strict for r in s.changes.collect()}
     assert strict[0, "top.sub.rst"] is None and strict[1, "top.data [7:0]"] == 10
 
