@@ -168,7 +168,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     share = F.create_map(*[x for name in languages for x in (F.lit(name), F.lit(1.1 * sample_rows / len(languages) / counts[name]))])
     draw = F.col("draw") / float(1 << 31)
     chosen = rows.withColumn("draw", F.pmod(F.xxhash64(key, F.octet_length("text"), "lang"), F.lit(1 << 31))).where(draw < share[F.col("lang")])
-    chosen = chosen.orderBy("draw", key).limit(sample_rows)
+    chosen = chosen.dropDuplicates(["draw"])  # of rows that repeat, one: the sample stays bounded
 
     def vectors(b: pa.RecordBatch) -> pa.RecordBatch:
         hs, xs = [], []
@@ -179,7 +179,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
                 xs.append((c / (ORDERS * (e - a)) * idf[h]).astype(np.float32))
         return pa.RecordBatch.from_arrays([b["lang"], b["draw"], pa.array(hs, pa.list_(pa.int32())), pa.array(xs, pa.list_(pa.float32()))], ["lang", "draw", "h", "x"])
 
-    sample = map_batches(chosen, vectors, "lang string, draw long, h array<int>, x array<float>").toArrow()
+    sample = map_batches(chosen, vectors, "lang string, draw long, h array<int>, x array<float>").orderBy("draw").limit(sample_rows).toArrow()
     place = {name: i for i, name in enumerate(languages)}
     parts: tuple[list, list] = ([], [])
     for i, (name, draw) in enumerate(zip(sample["lang"].to_pylist(), sample["draw"].to_pylist(), strict=True)):
