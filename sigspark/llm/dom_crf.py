@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from sigspark.llm.common import map_batches, small_batches
 
 #: Labelled pages of the generator that the field is trained on, its seed, and passes over them.
-TRAIN_PAGES, SEED, EPOCHS = 500, 11, 6
+TRAIN_PAGES, SEED, EPOCHS = 1200, 11, 7
 
 # HTML's element kinds.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -31,12 +31,14 @@ UNSEEN = "script|style|template|noscript|head|title|textarea|select|svg|iframe|o
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 PARAGRAPH_ENDS = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
+SECTIONS = frozenset("article aside dialog figure footer form header main nav section".split())
+
 _ATTRS = r"""(?:"[^"<]*"|'[^'<]*'|[^'"<>])*+>"""
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<unseen>{UNSEEN})\b{_ATTRS}.*?(?:</(?P=unseen)\s*>|(?=<body\b)|\Z)|</?(?P<tag>[a-z][a-z0-9:-]*){_ATTRS}|</?(?P<loose>[a-z][a-z0-9:-]*)[^<>]*>?|<[!?][^>]*>?", re.S | re.I)
 NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PARTS = re.compile(r"[a-z]+")
 #: Words in class names and ids that are features of their own; any other word is left out.
-HINTS = frozenset("ad ads advert advertisement advertising article aside author banner blog body breadcrumb breadcrumbs byline caption comment comments consent content cookie copyright discussion dropdown entry feed footer form gdpr header hero lead legal links login main masthead menu modal nav navbar navigation newsletter notice pagination pager popup post print promo promoted recommended related replies reply respond search share sharing shop sidebar signup site skip social sponsor sponsored story subscribe tags teaser text toc toolbar top widget widgets".split())
+HINTS = frozenset("ad ads bar box panel side topbar advert advertisement advertising article aside author banner blog body breadcrumb breadcrumbs byline caption comment comments consent content cookie copyright discussion dropdown entry feed footer form gdpr header hero lead legal links login main masthead menu modal nav navbar navigation newsletter notice pagination pager popup post print promo promoted recommended related replies reply respond search share sharing shop sidebar signup site skip social sponsor sponsored story subscribe tags teaser text toc toolbar top widget widgets".split())
 
 
 @dataclass
@@ -44,6 +46,7 @@ class Block:
     text: str
     tags: tuple[str, ...]  # ancestors from the outside, the nearest last
     hints: frozenset[str]  # of all ancestors
+    near: frozenset[str]  # of the nearest ancestor that has any
     linked: int  # characters within links
 
 
@@ -66,7 +69,7 @@ def blocks(page: str | None) -> list[Block]:
         if text:
             own = " ".join(entities.unescape("".join(text)).split())
             if own:
-                out.append(Block(own, tuple(o.tag for o in stack), frozenset().union(*(o.hints for o in stack)) if stack else frozenset(), linked))
+                out.append(Block(own, tuple(o.tag for o in stack), frozenset().union(*(o.hints for o in stack)), next((o.hints for o in reversed(stack) if o.hints), frozenset()), linked))
             text.clear()
         linked = 0
 
@@ -116,7 +119,10 @@ def features(own: list[Block]) -> list[list[str]]:
     for i, b in enumerate(own):
         size, words = len(b.text), b.text.count(" ") + 1
         f = ["bias", f"own={b.tags[-1] if b.tags else ''}", f"words={min(words, 64).bit_length()}", f"links={min(4, 5 * b.linked // size)}"]
-        f += {f"in={t}" for t in b.tags} | {f"hint={h}" for h in b.hints}
+        f += {f"in={t}" for t in b.tags} | {f"hint={h}" for h in b.hints} | {f"near={h}" for h in b.near}
+        inner = [t for t in b.tags if t in SECTIONS][-2:]
+        f.append(f"sections={'>'.join(inner)}")
+        f.append(f"section={inner[-1] if inner else ''} own={b.tags[-1] if b.tags else ''}")
         f.append(f"end={b.text[-1] if b.text[-1] in '.!?:;,…' else 'w' if b.text[-1].isalnum() else 'o'}")
         if "©" in b.text or "|" in b.text or "»" in b.text or "·" in b.text:
             f.append("mark")
@@ -265,13 +271,17 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = SEED) -> list[tuple[str, li
 
         few = lambda: int(rng.integers(2, 8))
 
+        def heading() -> str:
+            tag = pick(["h2", "h3", "h3", "h4"])
+            return f"<{tag}>{words(1, 3)}</{tag}>" if coin(0.8) else f"<p>{words(1, 3)}</p>"
+
         def notice() -> str:
             return pick([
-                lambda: f"<div{named('ad', 'ads', 'advert', 'ad banner', 'sponsored', 'promo')}>{esc(prose())}</div>",
+                lambda: f"<div class=\"{pick(['ad', 'ads', 'advert', 'ad banner', 'sponsored', 'promo'])}\">{esc(prose())}</div>",
                 lambda: f"<div class=\"{pick(['ad', 'ads', 'advertisement', 'sponsored', 'promo', 'banner'])}\"><p>{esc(prose())}</p></div>",
                 lambda: f"<div class=\"{pick(['cookie-notice', 'cookie', 'gdpr consent', 'notice', 'cookie-banner', 'popup', 'modal'])}\"><p>{esc(prose())}</p><button>{word()}</button></div>",
-                lambda: f"<aside{named('sidebar', 'widget', 'related')}><h3>{words(1, 3)}</h3><ul>{links(few())}</ul><p>{esc(prose())}</p></aside>",
-                lambda: f"<div class=\"{pick(['sidebar', 'related', 'widget', 'recommended', 'side-bar'])}\"><h4>{words(1, 3)}</h4><p>{esc(prose())}</p><ul>{links(few())}</ul></div>",
+                lambda: f"<aside{named('sidebar', 'widget', 'related')}>{heading() if coin(0.6) else ''}{pick([lambda: f'<ul>{links(few())}</ul>', lambda: esc(prose()), lambda: f'<p>{esc(prose())}</p>'])()}</aside>",
+                lambda: f"<div class=\"{pick(['sidebar', 'related', 'widget', 'recommended', 'side-bar'])}\">{heading() if coin(0.6) else ''}<p>{esc(prose())}</p>{f'<ul>{links(few())}</ul>' if coin(0.6) else ''}</div>",
                 lambda: f"<form{named('search', 'newsletter', 'signup', 'login')}><label>{words(1, 3)}</label><p>{esc(sentence())}</p><input name=q><button>{word()}</button></form>",
                 lambda: f"<div class=\"{pick(['share', 'social', 'tags', 'breadcrumb', 'pagination', 'newsletter', 'subscribe'])}\">{esc(words(1, 6))} <a href=#>{word()}</a></div>",
             ])()
@@ -279,13 +289,15 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = SEED) -> list[tuple[str, li
         def comments() -> str:
             inner = "".join(f"<{t}{named('comment', 'reply')}><p>{esc(prose())}</p></{t}>" for t in [pick(["div", "li", "article"])] * few())
             tag = pick(["section", "div", "ol"])
-            return f'<{tag} {pick(["class", "id"])}="{pick(["comments", "comment-list", "replies", "discussion", "respond", "comments-area"])}"><h3>{words(1, 3)}</h3>{inner}</{tag}>'
+            return f'<{tag} {pick(["class", "id"])}="{pick(["comments", "comment-list", "replies", "discussion", "respond", "comments-area"])}">{heading()}{inner}</{tag}>'
 
         def article() -> str:
-            out = [text(pick(["h1", "h1", "h2"]), words(1, 12))] if coin(0.9) else []
+            out = [text(pick(["h1", "h1", "h2"]), words(1, 12))] if coin(0.85) else []
+            if out and a.startswith("<article") and coin(0.3):
+                out = [f"<header>{out[0]}</header>"]
             if coin(0.15):
                 out.append(notice())
-            for _ in range(int(rng.integers(1, 12))):
+            for _ in range(int(rng.integers(1, pick([3, 5, 12, 12])))):
                 r = rng.random()
                 if r < 0.7:
                     out.append(text("p", prose()))
@@ -301,8 +313,10 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = SEED) -> list[tuple[str, li
                     out.append("<table><tr>" + "".join(text("td", words(1, 3)) for _ in range(3)) + "</tr></table>")
                 else:
                     out.append(notice())
-            if coin(0.1):
+            if coin(0.15):
                 out.append(comments())
+            if a.startswith("<article") and coin(0.1):
+                out.append(f"<footer>{esc(words(2, 6))}</footer>")
             return "".join(out)
 
         head = f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{words(1, 8)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>'
