@@ -105,8 +105,8 @@ def _built(axis: DataFrame, changes: DataFrame, kind: str, kinds: dict[str, str]
 
 def index_rows(df: DataFrame, trace: str, order: list[str]) -> DataFrame:
     """df with trace_id string and idx: the place, from 0, in the order within the trace."""
-    w = Window.partitionBy(trace).orderBy(*order)
-    return df.withColumn("idx", (F.row_number().over(w) - 1).cast("long")).withColumn("trace_id", F.col(trace).cast("string"))
+    w = Window.partitionBy("trace_id").orderBy(*order)
+    return df.withColumn("trace_id", F.col(trace).cast("string")).withColumn("idx", (F.row_number().over(w) - 1).cast("long"))
 
 
 def _ts(col: str, df: DataFrame) -> Column:

@@ -17,7 +17,8 @@ def hold(df: DataFrame, keys: list[str], idx: str, cols: list[str], bucket: int
         w = Window.partitionBy(*keys).orderBy(idx)
         out = df.select("*", *[F.last(c, True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(f"_{c}") for c in cols], *([F.lead(idx).over(w).alias(lead)] if lead else []))
         return out.select(*[F.col(f"_{c}").alias(c) if c in cols else c for c in df.columns], *([lead] if lead else []))
-    df = df.withColumn("_b", F.floor(F.col(idx) / bucket))
+    if "_b" not in df.columns:  # else the caller has its rows by bucket already
+        df = df.withColumn("_b", F.floor(F.col(idx) / bucket))
     w = Window.partitionBy(*keys, "_b").orderBy(idx)
     inner = df.select("*", *[F.last(c, True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(f"_{c}") for c in cols], F.lead(idx).over(w).alias("_next"))
     ends = df.groupBy(*keys, "_b").agg(F.min(idx).alias("_first"), *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(idx))).alias(f"_in_{c}") for c in cols])

@@ -216,7 +216,11 @@ def frame(s: TraceSet, *exprs: Expr) -> tuple[DataFrame, At]:
             cols.append(F.when(F.col("m.i") == i, F.struct(F.col("idx"), F.col("seq"), (F.col(s.value(n)) if n == plain(n) else F.col("ival_strict").isNotNull()).alias("v"))).alias(f"s{i}"))
         parts.append(moved.select("trace_id", F.greatest(F.col("at"), zero).alias("idx"), F.lit(None).cast("long").alias("max_index"), *cols))
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], True)
-    points = rows.groupBy("trace_id", "idx").agg(F.max("max_index").alias("max_index"), *[F.max(f"s{i}")["v"].alias(f"v{i}") for i in range(len(read))])
+    # one exchange serves the grouping and the windows
+    keys = ["trace_id"]
+    if s.bucket:
+        rows, keys = rows.withColumn("_b", F.floor(F.col("idx") / s.bucket)), ["trace_id", "_b"]
+    points = rows.repartition(*keys).groupBy(*keys, "idx").agg(F.max("max_index").alias("max_index"), *[F.max(f"s{i}")["v"].alias(f"v{i}") for i in range(len(read))])
     filled = hold(points, ["trace_id"], "idx", ["max_index", *number.values()], s.bucket, "end_idx")
     filled = filled.where("idx <= max_index").withColumn("end_idx", F.least(F.coalesce("end_idx", F.col("max_index") + 1), F.col("max_index") + 1))
 
