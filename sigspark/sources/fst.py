@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from sigspark.model import CHANGES, SCOPES, SIGNALS, TRACES, TraceSet
 from sigspark.sources.vcd import as_int
+from sigspark.storage import ship
 
 # Block types, the header's layout, the states that a scalar chain can name.
 HDR, VCDATA, BLACKOUT, GEOM, HIER, VC_ALIAS, HIER_LZ4, HIER_LZ4DUO, VC_ALIAS2, ZWRAP, SKIP = 0, 1, 2, 3, 4, 5, 6, 7, 8, 254, 255
@@ -372,6 +373,7 @@ def _block(path: str, at: int, size: int) -> Block:
 
 def read_fst(spark: SparkSession, path: str, trace_id: str = "t0", load_order: int = 0, bucket: int = 1 << 18) -> TraceSet:
     """The trace of a binary dump that executors can open under the same path. Equal times of neighbouring blocks are one index."""
+    ship(spark)
     with _open(path) as f:
         m = read_meta(f)
     at = spark.createDataFrame([(i, p, n) for i, (p, n) in enumerate(m.blocks)], "block int, at long, size long").repartition(max(1, len(m.blocks)), "block")

@@ -1,4 +1,4 @@
-"""Reliable cuts of lineage in the folder that the cluster names in spark.checkpoint.dir."""
+"""Reliable cuts of lineage in the folder that the cluster names in spark.checkpoint.dir; the package for executors."""
 
 from __future__ import annotations
 
@@ -6,10 +6,27 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once per application: functions that run there call others of its modules."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    folder, root = tempfile.mkdtemp(prefix="core"), Path(__file__).resolve().parent
+    atexit.register(shutil.rmtree, folder, True)
+    with zipfile.ZipFile(f"{folder}/{root.name}_core.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(f"{folder}/{root.name}_core.zip")
+    _shipped.add(sc.applicationId)
 
 
 def shared_root(spark: SparkSession) -> str:
