@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import bpe_trie, decontaminate, langid, simhash
+from sigspark.llm import bpe_trie, decontaminate, langid, similar
 from sigspark.llm.common import apart, cut, shared_folder, table
 from sigspark.llm.queries import TOKENIZER
 
@@ -25,7 +25,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of every component of linked fingerprints the document with the smallest doc_id; of rows with equal doc_id and text, one.
+    """Keeps of every component of documents whose 5-word shingles have a similarity of at least 0.8 the one with the smallest doc_id; of rows with equal doc_id and text, one.
 
     Rows that share the smallest doc_id but not the text all stay, and so do rows without a doc_id, as nothing tells
     them apart.
@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     named, own = apart(docs, ("text_key", "fp"))
     named = named.withColumn("text_key", F.xxhash64("text"))
     known, key = named.where("doc_id is not null"), ["doc_id", "text_key"]
-    groups = cut(simhash.near_duplicates(known, keep=("text_key",)))
+    groups = cut(similar.near_duplicates(known, keep=("text_key",)))
     gone = groups.where("doc_id <> component_id").select(*key).distinct()
     again = cut(groups.where("doc_id = component_id").groupBy(*key).count().where("count > 1").select(*key))
     kept = known.join(gone, key, "left_anti")
@@ -57,7 +57,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontaminated", decontaminated), ("encoded", encoded)]
 
-#: SQL can express neither the language model nor the fingerprints; tests/llm holds the stages against brute force.
+#: SQL can express neither the language model nor the shingles; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
