@@ -24,9 +24,11 @@ from sigspark.llm.common import map_batches, small_batches
 TRAIN_PAGES, SEED, EPOCHS = 1200, 11, 7
 
 # HTML's element kinds.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()) | frozenset("math menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = "script|style|template|noscript|head|title|textarea|select|svg|iframe|object|math|canvas|audio|video"
+UNSEEN = "script|style|template|noscript|title|textarea|select|svg|iframe|object|canvas|audio|video"
+#: What can be in a head beside unseen elements: it ends before text and any other tag, also where its own end tag is left out.
+IN_HEAD = frozenset("base basefont bgsound link meta".split())
 #: Start tags that close an open one: inside which an open tag of the second set ends.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 PARAGRAPH_ENDS = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -34,7 +36,7 @@ PARAGRAPH_ENDS = frozenset("address article aside blockquote div dl fieldset fig
 SECTIONS = frozenset("article aside dialog figure footer form header main nav section".split())
 
 _ATTRS = r"""(?:"[^"<]*"|'[^'<]*'|[^'"<>])*+>"""
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<unseen>{UNSEEN})\b{_ATTRS}.*?(?:</(?P=unseen)\s*>|(?=<body\b)|\Z)|</?(?P<tag>[a-z][a-z0-9:-]*){_ATTRS}|</?(?P<loose>[a-z][a-z0-9:-]*)[^<>]*>?|<[!?][^>]*>?", re.S | re.I)
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<empty>svg)\b{_ATTRS}(?<=/>)|<(?P<unseen>{UNSEEN})\b{_ATTRS}.*?(?:</(?P=unseen)\s*>|(?=<body\b)|\Z)|</?(?P<tag>[a-z][a-z0-9:-]*){_ATTRS}|</?(?P<loose>[a-z][a-z0-9:-]*)[^<>]*>?|<[!?][^>]*>?", re.S | re.I)
 NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PARTS = re.compile(r"[a-z]+")
 #: Words in class names and ids that are features of their own; any other word is left out.
@@ -79,12 +81,16 @@ def blocks(page: str | None) -> list[Block]:
             if links:
                 linked += m.start() - at
         at = m.end()
-        if m["unseen"]:
+        if stack and stack[-1].tag == "head" and "".join(text).strip():
+            stack.pop()
+        if m["unseen"] or m["empty"]:
             continue
         tag = (m["tag"] or m["loose"] or "").lower()
         if not tag:
             continue
         closing = page[m.start() + 1] == "/"
+        if stack and stack[-1].tag == "head" and not closing and tag not in IN_HEAD:
+            stack.pop()
         if tag in INLINE:
             if tag == "br":
                 text.append(" ")
@@ -107,6 +113,8 @@ def blocks(page: str | None) -> list[Block]:
             stack.append(Open(tag, hints))
     if at < len(page):
         text.append(page[at:])
+        if stack and stack[-1].tag == "head" and page[at:].strip():
+            stack.pop()
         if links:
             linked += len(page) - at
     end()

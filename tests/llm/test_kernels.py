@@ -277,6 +277,17 @@ def test_blocks():
     assert dom_crf.blocks("<a href='x>" * 2000) == [] or True
 
 
+def test_blocks_without_end_tags():
+    """Self-closed svg and math, a head whose end tag is left out, text of math."""
+    own = lambda page: [b.text for b in dom_crf.blocks(page)]
+    assert own('<article><p>One.</p><svg class="i"/><p>Two.</p></article>') == own("<article><p>One.</p><math/><p>Two.</p></article>") == ["One.", "Two."]
+    assert own("<p>a<svg><path d='x'/><text>no</text></svg>b") == ["ab"]
+    assert own("<html><head><title>t</title><meta charset=utf-8><p>One.<p>Two.") == ["One.", "Two."]
+    assert [(b.text, b.tags) for b in dom_crf.blocks("<head><title>t</title><link rel=x>One<p>Two")] == [("One", ()), ("Two", ("p",))]
+    assert own("<head><title>t</title><style>p{}</style></head><body><p>One.") == ["One."]
+    assert own("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.") == ["Let x=2 hold."]
+
+
 def test_hostile_pages_take_linear_time():
     import time
 
