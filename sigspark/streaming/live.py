@@ -46,6 +46,27 @@ def windowed_counts(events: DataFrame, ts: str = "ts", late: str = "10 minutes",
 
 
 def convert(spark: SparkSession, folder: str, target: str, checkpoint: str) -> None:
-    """Converts what is in the folder to Parquet intervals; run again, it goes on after what the checkpoint has."""
+    """Converts what is in the folder to Parquet intervals; run again, it goes on after what the checkpoint has.
+
+    The target has the closed intervals, its folder _open those still open after the run (end_idx null), one a
+    signal, written anew from the state by every run. Readers of the target skip _open; converted() gives both.
+    """
     q = closed_intervals(follow(spark, folder)).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+    if not _committed(spark, checkpoint):
+        return  # no batch yet, so no state
+    held = spark.read.format("statestore").load(checkpoint)
+    open_ = held.select("key.trace_id", "key.name", F.col("value.groupState.idx").alias("idx"), F.lit(None).cast("long").alias("end_idx"), F.col("value.groupState.value").alias("value"))
+    open_.write.mode("overwrite").parquet(f"{target}/_open")
+
+
+def _committed(spark: SparkSession, checkpoint: str) -> bool:
+    """Whether the checkpoint has a finished batch."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits/0")
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def converted(spark: SparkSession, target: str) -> DataFrame:
+    """All intervals of a conversion: every change opens one; end_idx is null in those still open."""
+    read = spark.read.schema(INTERVAL)
+    return read.parquet(target).unionByName(read.parquet(f"{target}/_open"))
