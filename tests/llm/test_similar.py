@@ -5,7 +5,6 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sigspark.llm import similar
@@ -72,3 +71,9 @@ def test_similar_groups(spark, monkeypatch, common):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     got = {r.doc_id: r.component_id for r in similar.near_duplicates(df).collect()}
     assert got == dict(enumerate(root)) and len(set(root)) < len(texts)
+
+
+def test_documents_with_letters_stay_where_no_language_is_known(spark):
+    rows = [(1, "some words", None), (2, "12 34", None), (3, None, None), (4, "été", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()} == {1, 4}
