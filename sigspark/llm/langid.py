@@ -154,7 +154,10 @@ def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """A model from the rows of docs with a text and a language; key only orders the sample."""
+    """A model from the rows of docs with a text and a language; key only orders the sample.
+
+    More than MAX_LANGUAGES distinct languages are an error.
+    """
     small_batches(docs.sparkSession)
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(key, F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     counts = dict(map(tuple, rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()))
