@@ -28,6 +28,8 @@ BUCKET = 4096
 LANES = 65_536
 #: Planes added between two looks at which words can be abandoned.
 GROUP = 8
+#: Rows of one key from which a join sends that key's row to every task instead of shuffling its rows to one.
+HOT = 1_000_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -43,7 +45,11 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     begins = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[a:b], seed) for a, b in zip(begins[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, n - shingle + 1)
+    return majority(np.fromiter((digest(joined[a:b], seed) for a, b in zip(begins[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, n - shingle + 1))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in more than half of the hashes (uint64); 0 for none."""
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(h), LANES):
         part = h[i : i + LANES]
@@ -151,6 +157,45 @@ def _blocks(bits: int, n: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
+def whole_buckets(batches: Iterator[pa.RecordBatch], cols: list[str]) -> Iterator[list[np.ndarray]]:
+    """Columns as arrays, the first being the bucket that rows are sorted by, in runs of whole buckets of LANES rows or more."""
+    held: list[list[np.ndarray]] = []
+    n = 0
+    for b in batches:
+        held.append([b[c].to_numpy() for c in cols])
+        n += b.num_rows
+        if n >= LANES:
+            every = [np.concatenate(x) for x in zip(*held, strict=True)]
+            end = int(np.searchsorted(every[0], every[0][-1]))  # the last bucket may go on
+            if end:
+                yield [c[:end] for c in every]
+            held, n = [[c[end:] for c in every]], len(every[0]) - end
+    if n:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def tiled(rows: DataFrame, key: str, node: str, bucket: int = BUCKET) -> DataFrame:
+    """rows with the string `key` refined where it has more than `bucket` rows: they are dealt into tiles by node, and every two tiles meet under a key of their own."""
+    half = bucket // 2
+    sizes = cut(rows.groupBy(key).count().where(F.col("count") > bucket)).select(key, F.ceil(F.col("count") / half).cast("int").alias("_tiles"))
+    tile = F.pmod(F.xxhash64(node), F.col("_tiles"))
+    met = F.transform(F.sequence(F.lit(0), F.col("_tiles") - 1), lambda t: F.concat_ws(".", key, F.least(t, F.col("_tile")).cast("string"), F.greatest(t, F.col("_tile")).cast("string")))
+    large = rows.join(sizes, key).withColumn("_tile", tile).withColumn(key, F.explode(met)).select(*rows.columns)
+    return rows.join(sizes.select(key), key, "left_anti").select(*rows.columns).unionByName(large)
+
+
+def spread(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left joined with right, which has a row a key and in `n` how many rows of left have it.
+
+    Keys with more than HOT rows, of which there are few, go to every task, so that none of their rows is shuffled.
+    """
+    hot = right.where(F.col("n") > HOT).drop("n")
+    if not hot.take(1):
+        return left.join(right.drop("n"), key)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(F.col("n") <= HOT).drop("n"), key)
+    return rest.unionByName(left.join(F.broadcast(hot), key))
+
+
 def links(nodes: DataFrame, radius: int = 3, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) between distinct fingerprints `fp` of nodes, enough to connect all that lie within the radius."""
     # `rest` holds the bits not yet used by a key, packed to the low end; `left` says how many
@@ -174,35 +219,18 @@ def links(nodes: DataFrame, radius: int = 3, bucket: int = BUCKET) -> DataFrame:
         out.append(rows.join(large, "key", "left_anti").select("key", "fp"))
         rows = rows.join(large.select("key"), "key", "left_semi")
     if rows is not None:  # buckets that stay large: every two tiles meet
-        half = bucket // 2
-        large = cut(rows.groupBy("key").count()).select("key", F.ceil(F.col("count") / half).cast("int").alias("tiles"))
-        tile = F.pmod(F.xxhash64("fp"), F.col("tiles"))
-        met = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.concat_ws(".", "key", F.least(t, F.col("tile")).cast("string"), F.greatest(t, F.col("tile")).cast("string")))
-        out.append(rows.join(large, "key").withColumn("tile", tile).select(F.explode(met).alias("key"), "fp"))
+        out.append(tiled(rows.select("key", "fp"), "key", "fp", bucket))
     every = out[0]
     for x in out[1:]:
         every = every.unionByName(x)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def linked(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for keys, some in whole_buckets(batches, ["h", "fp"]):
+            fps = some.view(np.uint64)
             i, j = forest(fps, keys, radius)
             if len(i):
                 yield pa.RecordBatch.from_arrays([pa.array(fps[i].view(np.int64)), pa.array(fps[j].view(np.int64))], ["a", "b"])
 
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        n = 0
-        for b in batches:
-            held.append((b["h"].to_numpy(), b["fp"].to_numpy().view(np.uint64)))
-            n += b.num_rows
-            if n >= LANES:
-                keys, fps = (np.concatenate(x) for x in zip(*held, strict=True))
-                end = int(np.searchsorted(keys, keys[-1]))  # the last bucket may go on
-                if end:
-                    yield from linked(keys[:end], fps[:end])
-                held, n = [(keys[end:], fps[end:])], len(keys) - end
-        if n:
-            yield from linked(*(np.concatenate(x) for x in zip(*held, strict=True)))
-
     # a key's hash stands for it: keys that share one are only compared for nothing
     hashed = every.select(F.xxhash64("key").alias("h"), "fp")
     small_batches(nodes.sparkSession)
@@ -218,12 +246,11 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     now = state(edges)
     while now[0]:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = cut(large)
-        least = cut(large.groupBy("a").agg(F.min("b").alias("m")))
-        met = large.join(least, "a")
+        both = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n")))
+        large = cut(spread(both, least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        least = cut(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
+        met = spread(large, least, "a")
         edges = cut(met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct())
         before, now = now, state(edges)
         if before == now:
@@ -231,18 +258,30 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 3, shingle: int = 3, seed: int = 42, bucket: int = BUCKET, keep: tuple[str, ...] = ()) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 3, shingle: int = 3, seed: int = 42, bucket: int = BUCKET, keep: tuple[str, ...] = (), similarity: float | None = None) -> DataFrame:
     """Per row of df: key, the columns `keep`, `fingerprint` (16 lowercase hex digits) and `component_id`.
 
     component_id is the smallest key that is reached over links of at most `radius` differing bits. Null
     texts and texts without words have fingerprint 0 and link like others. Equal fingerprints are
     merged before anything is compared, so copies cost no comparisons. Null keys count in no
     minimum; rows whose component has no other key get null. An empty df gives an empty result.
+
+    With a `similarity`, a link also needs sets of shingles of at least that Jaccard similarity, and candidates
+    are texts that share an early shingle in place of a block of bits (see similar.py).
     """
+    if similarity is not None:
+        from sigspark.llm import similar
+
+        return similar.near_duplicates(df, key, text, similarity, shingle, keep, radius, bucket)
     prints = cut(fingerprints(df, text, (key, *keep), shingle, seed))
-    nodes = cut(prints.groupBy("fp").agg(F.min(key).alias("least")))
+    nodes = cut(prints.groupBy("fp").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n")))
     roots = components(links(nodes, radius, bucket))
-    rooted = cut(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    named = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    table = cut(rooted.join(named, "root").select("fp", "component_id"))
-    return prints.join(table, "fp").select(key, *keep, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    table = named_components(nodes, roots.withColumnRenamed("node", "fp"), "fp")
+    return spread(prints, table, "fp").select(key, *keep, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def named_components(nodes: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+    """(node, component_id, n) of nodes (node, least key, n rows), whose roots are given where they are not themselves."""
+    rooted = cut(nodes.join(roots, node, "left").select(node, "least", F.col("n").alias("rows"), F.coalesce("root", node).alias("root")))
+    named = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    return cut(spread(rooted, named, "root").select(node, "component_id", F.col("rows").alias("n")))

@@ -1,10 +1,13 @@
-"""Near-duplicates by similarity: documents whose sets of word shingles have a Jaccard similarity of a bound or more.
-
-Exact, by prefix filter: in any one order of all shingles, two sets that are similar enough share a shingle among
-the first of each. The order puts shingles that a sample shows to be common last, so what is shared early is
-rare; the sample decides the cost and never the result. Equal sets are merged before anything is
-compared. Neighbours in random orders of the sets with a shingle are compared first, which joins large groups by few
-comparisons; then every pair that shares an early shingle and is not yet in one component is.
+"""SimHash near-duplicates whose links are verified: shingle sets with a Jaccard similarity of a bound or more.
+
+Fingerprints of 64 bits put sets of a similarity of 0.8 about 10 bits apart (up to 12 for sets of a few shingles), too far
+for blocks of bits to find them among many. So the buckets are of another kind here: in any one order of
+all shingles, two sets that are similar enough share a shingle among the first of each (the prefix filter). The order
+puts shingles that a sample shows to be common last, so what is shared early is rare; the sample decides the cost
+and never the result. Equal sets are merged before anything is compared. Neighbours in random orders of a bucket
+are compared first, which joins large groups by few comparisons; then the bit-sliced comparison goes over all pairs of
+a bucket that are not yet in one component. Pairs within the radius are verified on their whole sets. The radius of 24
+bits loses a pair at the bound with a probability below 1e-4 (five standard deviations for most sizes).
 """
 
 from __future__ import annotations
@@ -20,10 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sigspark.llm.common import cut, map_batches, map_stream, small_batches, written
-from sigspark.llm.simhash import _LOWER, components
+from sigspark.llm.simhash import _LOWER, BUCKET, components, majority, named_components, near_pairs, spread, tiled, whole_buckets
 
-#: Least similarity, and words a shingle.
-SIMILARITY, SHINGLE = 0.8, 5
+#: Least similarity, words a shingle, and bits in which candidates may differ.
+SIMILARITY, SHINGLE, RADIUS = 0.8, 5, 24
 #: Documents that common shingles are looked for in, and common shingles that are put last.
 SAMPLE_ROWS, COMMON = 20_000, 200_000
 #: Random orders in which neighbours are compared.
@@ -71,32 +74,52 @@ def _common(df: DataFrame, text: str, shingle: int) -> tuple[np.ndarray, np.ndar
     return h[order], n[order]
 
 
-def _close(similarity: float, a: str = "size_a", b: str = "size_b", at: str = "at_a", bt: str = "at_b") -> F.Column:
-    """Whether two sets can be similar enough if the shingles at these places are the first they share."""
-    need = similarity / (1 + similarity) * (F.col(a) + F.col(b)) - _EPS
-    return F.least(F.col(a) - F.col(at), F.col(b) - F.col(bt)) >= need
+def _enough(size_a: np.ndarray, at_a: np.ndarray, size_b: np.ndarray, at_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets can be similar enough if the shingles at these places are the first they share."""
+    return np.minimum(size_a - at_a, size_b - at_b) >= similarity / (1 + similarity) * (size_a + size_b) - _EPS
+
 
+def _batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-def _neighbours(rows: DataFrame, similarity: float) -> DataFrame:
+
+def _neighbours(rows: DataFrame, similarity: float, radius: int) -> DataFrame:
     """Pairs (a, b) of sets that stand side by side among those with a shingle, in ORDERS random orders of all sets."""
     dealt = rows.withColumn("place", F.xxhash64("node", F.pmod("key", F.lit(ORDERS))))
+    cols = ["key", "node", "size", "at", "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for b in batches:
-            cols = [b[c].to_numpy() for c in ("key", "node", "size", "at")]
+            own = [b[c].to_numpy() for c in cols]
             if last is not None:
-                cols = [np.concatenate(([x], c)) for x, c in zip(last, cols, strict=True)]
-            if not len(cols[0]):
+                own = [np.concatenate(([x], c)) for x, c in zip(last, own, strict=True)]
+            if not len(own[0]):
                 continue
-            last = [c[-1] for c in cols]
-            key, node, size, at = cols
-            left = np.minimum(size[1:] - at[1:], size[:-1] - at[:-1])
-            i = np.flatnonzero((key[1:] == key[:-1]) & (node[1:] != node[:-1]) & (left >= similarity / (1 + similarity) * (size[1:] + size[:-1]) - _EPS))
+            last = [c[-1] for c in own]
+            key, node, size, at, fp = own
+            near = np.bitwise_count((fp[1:] ^ fp[:-1]).view(np.uint64)) <= radius
+            i = np.flatnonzero(near & (key[1:] == key[:-1]) & (node[1:] != node[:-1]) & _enough(size[1:], at[1:], size[:-1], at[:-1], similarity))
             if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[i + 1])), pa.array(np.maximum(node[i], node[i + 1]))], ["a", "b"])
+                yield _batch(node[i], node[i + 1])
+
+    return map_stream(dealt.repartitionByRange("key", "place").sortWithinPartitions("key", "place").select(*cols), run, "a long, b long").distinct()
 
-    return map_stream(dealt.repartitionByRange("key", "place").sortWithinPartitions("key", "place").select("key", "node", "size", "at"), run, "a long, b long").distinct()
+
+def _across(rows: DataFrame, similarity: float, radius: int, bucket: int) -> DataFrame:
+    """Pairs (a, b) of sets with different roots in a bucket, by bit-sliced comparison. rows: key, node, size, at, fp, root."""
+    named = tiled(rows.withColumn("key", F.col("key").cast("string")), "key", "node", bucket)
+    cols = ["h", "fp", "node", "size", "at", "root"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, fp, node, size, at, root in whole_buckets(batches, cols):
+            for i, j in near_pairs(fp.view(np.uint64), key, radius):
+                k = (root[i] != root[j]) & _enough(size[i], at[i], size[j], at[j], similarity)
+                if k.any():
+                    yield _batch(node[i[k]], node[j[k]])
+
+    hashed = named.withColumn("h", F.xxhash64("key")).select(*cols)
+    return map_stream(hashed.repartition("h").sortWithinPartitions("h"), run, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -114,54 +137,52 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return map_batches(both, run, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row of df: key, the columns `keep` and `component_id`, the smallest key that is reached over pairs of a similarity of at least `similarity`.
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, keep: tuple[str, ...] = (), radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """Per row of df: key, the columns `keep`, `fingerprint` (16 hex digits, of the set of shingles) and `component_id`, the smallest key that is reached over pairs of a similarity of at least `similarity` within `radius` bits.
 
     Words are those of simhash.fingerprint; texts without words, null ones among them, equal each other. Null
-    keys count in no minimum. Names that start with an underscore and node, size are this operator's own.
+    keys count in no minimum; a component of such rows alone gets null. Repeated rows are kept. An empty df gives an
+    empty result. Names that start with an underscore and node, fp, size, early are this operator's own.
     """
     small_batches(df.sparkSession)
     narrow = df.select(key, *keep, F.xxhash64(text).alias("_text"), text)
     common = df.sparkSession.sparkContext.broadcast(_common(df.select(text), text, shingle))
-    schema = T.StructType([*narrow.select(key, *keep, "_text").schema.fields, *T._parse_datatype_string("node long, size long, early array<long>").fields])
+    schema = T.StructType([*narrow.select(key, *keep, "_text").schema.fields, *T._parse_datatype_string("node long, fp long, size long, early array<long>").fields])
 
     def prints(b: pa.RecordBatch) -> pa.RecordBatch:
         own = [shingles(t, shingle) for t in b[text].to_pylist()]
         node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in own], np.uint64).view(np.int64)
+        fp = np.array([majority(s.view(np.uint64)) for s in own], np.uint64).view(np.int64)
         early = pa.array([prefix(s, common.value, similarity) for s in own], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([b[key], *(b[c] for c in keep), b["_text"], pa.array(node), pa.array([len(s) for s in own], pa.int64()), early], schema.names)
+        return pa.RecordBatch.from_arrays([b[key], *(b[c] for c in keep), b["_text"], pa.array(node), pa.array(fp), pa.array([len(s) for s in own], pa.int64()), early], schema.names)
 
     made = written(map_batches(narrow, prints, schema), "prints")
-    rows = made.select("node", "size", F.posexplode("early").alias("at", "key")).select("key", "node", "size", F.col("at").cast("long").alias("at"))
+    cols = ["key", "node", "size", "at", "fp"]
+    rows = made.select("node", "fp", "size", F.posexplode("early").alias("at", "key")).withColumn("at", F.col("at").cast("long")).select(*cols)
     shared = cut(rows.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("key"))
     rows = cut(rows.join(shared, "key", "left_semi").distinct())
+    hashed = T._parse_datatype_string("node long, hashes binary")
+
+    def sets(b: pa.RecordBatch) -> pa.RecordBatch:
+        own = [shingles(t, shingle) for t in b[text].to_pylist()]
+        node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in own], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array([s.tobytes() for s in own], pa.binary())], hashed.names)
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        hashed = T._parse_datatype_string("node long, hashes binary")
-
-        def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            own = [shingles(t, shingle) for t in b[text].to_pylist()]
-            node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in own], np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(node), pa.array([s.tobytes() for s in own], pa.binary())], hashed.names)
-
         # one text of each set: the least hash of those that have it
         texts = made.join(ends, "node", "left_semi").groupBy("node").agg(F.min("_text").alias("_text")).select("_text")
-        return cut(map_batches(df.withColumn("_text", F.xxhash64(text)).join(texts, "_text", "left_semi").groupBy("_text").agg(F.first(text).alias(text)).select(text), run, hashed))
+        return cut(map_batches(df.withColumn("_text", F.xxhash64(text)).join(texts, "_text", "left_semi").groupBy("_text").agg(F.first(text).alias(text)).select(text), sets, hashed))
 
-    pairs = cut(_neighbours(rows, similarity))
+    pairs = cut(_neighbours(rows, similarity, radius))
     edges = cut(_verified(pairs, sets_of(pairs), similarity))
     roots = components(edges)
-    labelled = cut(rows.join(roots, "node", "left").select("key", "node", "size", "at", F.coalesce("root", "node").alias("root")))
+    labelled = cut(rows.join(roots, "node", "left").select(*cols, F.coalesce("root", "node").alias("root")))
     mixed = labelled.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    labelled = cut(labelled.join(mixed, "key", "left_semi"))
-    side = lambda s: labelled.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "at", "root")))
-    rest = side("a").join(side("b"), "key").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & _close(similarity)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    rest = cut(rest.join(pairs, ["a", "b"], "left_anti"))
+    rest = cut(_across(cut(labelled.join(mixed, "key", "left_semi")), similarity, radius, bucket).join(pairs, ["a", "b"], "left_anti"))
     if rest.take(1):
         edges = edges.unionByName(cut(_verified(rest, sets_of(rest), similarity)))
         roots = components(edges)
-    nodes = made.groupBy("node").agg(F.min(key).alias("_least"))
-    rooted = cut(nodes.join(roots, "node", "left").select("node", "_least", F.coalesce("root", "node").alias("root")))
-    named = rooted.groupBy("root").agg(F.min("_least").alias("component_id"))
-    return made.join(cut(rooted.join(named, "root").select("node", "component_id")), "node").select(key, *keep, "component_id")
+    nodes = cut(made.groupBy("node").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n")))
+    table = named_components(nodes, roots, "node")
+    return spread(made, table, "node").select(key, *keep, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -17,6 +17,7 @@ from sigspark.llm import decontaminate, dom_crf, flac, langid, queries, sharding
 from sigspark.llm.common import table
 from sigspark.llm.oracle import ORACLE
 from tests.llm.test_kernels import near_set, slow_fingerprint, slow_hits, slow_ratio
+from tests.llm.test_similar import slow_roots
 
 DATA = "/root/testdata/sf0.001"
 PROSE = "The cat sat on the mat, and then it went away from here to there in the rain."
@@ -292,16 +293,13 @@ def test_pipeline_stages(spark, odd):
     assert not {3, 4, 5, 6} & {r.doc_id for r in kept.collect()}
     near = corpus_pipeline.near_duplicates(spark, docs, odd)
     assert near.columns == docs.columns and {r.fp for r in near.collect()} == {"own"}
-    got, comp = text(near), {(r.doc_id, r.fingerprint): r.component_id for r in queries.op10_simhash(spark, odd).where("doc_id is not null").collect()}
-    known = docs.where("doc_id is not null")
-    comp = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.near_duplicates(known).collect()}
-    want = Counter()
-    for d, t, *_ in DOCS:
-        if d is None:
-            want[d, t] += 1
-        elif comp[d, format(slow_fingerprint(t), "016x")] == d:
+    got, known = text(near), sorted({(d, t or "") for d, t, *_ in DOCS if d is not None})
+    root = slow_roots([t for _, t in known])
+    want = Counter((d, t) for d, t, *_ in DOCS if d is None)
+    for i, (d, t) in enumerate(known):
+        if d == min(known[j][0] for j in range(len(known)) if root[j] == root[i]):
             want[d, t] = 1
-    assert got == want
+    assert Counter({(d, t if d is None else t or ""): n for (d, t), n in got.items()}) == want
     clean = corpus_pipeline.decontaminated(spark, docs, odd)
     assert clean.columns == docs.columns and {r.spans for r in clean.collect()} == {"own"}
     assert text(clean) == Counter((d, t) for d, t, *_ in DOCS if d not in (7, 8))
@@ -318,14 +316,8 @@ def test_pipeline_of_the_samples(spark):
     sure = {r.doc_id for r in corpus_pipeline.language(spark, table(spark, DATA, "documents"), DATA).collect()}
     assert sure <= letters and len(sure) >= 0.98 * len(letters)
     ids = sorted(sure)
-    root = slow_components([slow_fingerprint(docs[d].text) for d in ids])
-    firsts = [ids[i] for i in sorted(set(root))]
-    want = set()
-    for d in firsts:
-        words = decontaminate.words_of(docs[d].text)
-        n, _ = slow_hits(words, bench, 13)
-        if not (n and 20 * n >= len(words)):
-            want.add(d)
+    root = slow_roots([docs[d].text for d in ids])
+    want = {d for i, d in enumerate(ids) if root[i] == i and not slow_hits(decontaminate.words_of(docs[d].text), bench, 13)[0]}
     assert {r.doc_id for r in out} == want and len(out) == len(want)
     for r in out:
         assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].text.encode()).hexdigest() and len(r.token_ids) == 4 * r.n_tokens
