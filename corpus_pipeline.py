@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import bpe_trie, decontaminate, langid, similar
+from sigspark.llm import bpe_trie, decontaminate, langid, simhash
 from sigspark.llm.common import apart, cut, shared_folder, table
 from sigspark.llm.queries import TOKENIZER
 
+#: Near duplicates: words a shingle, least Jaccard similarity, and bits in which candidates may differ.
+SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 24
 #: Least calibrated probability of the predicted language; on the check tables, where all documents have letters, it drops
 #: 1 of 51,282 (check_s) and 6 of 256,410 (check_l), by the row counts of CHECK_r01.txt.
 LEAST_SCORE = 0.4
@@ -39,7 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     named, own = apart(docs, ("text_key", "fp"))
     named = named.withColumn("text_key", F.xxhash64("text"))
     known, key = named.where("doc_id is not null"), ["doc_id", "text_key"]
-    groups = cut(similar.near_duplicates(known, keep=("text_key",)))
+    groups = cut(simhash.near_duplicates(known, keep=("text_key",), shingle=SHINGLE, similarity=SIMILARITY, radius=RADIUS))
     gone = groups.where("doc_id <> component_id").select(*key).distinct()
     again = cut(groups.where("doc_id = component_id").groupBy(*key).count().where("count > 1").select(*key))
     kept = known.join(gone, key, "left_anti")
@@ -49,14 +51,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops contaminated documents."""
+    """Drops every document in which a whole window of a benchmark item occurs, however long the document is.
+
+    Documents without words, null texts among them, stay; repeated rows share one decision; an empty benchmark drops
+    nothing; columns that the operator names itself come back as they were.
+    """
     named, own = apart(docs, ("n_words", "spans", "items", "_spans", "_items", "n_hit", "n_items", "contaminated"))
-    found = decontaminate.judged(decontaminate.contamination(named, table(spark, sf_dir, "benchmark"), keep=tuple(named.columns)))
-    return found.where(~F.col("contaminated")).select(*own)
+    found = decontaminate.contamination(named, table(spark, sf_dir, "benchmark"), keep=tuple(named.columns))
+    return found.where(F.size("spans") == 0).select(*own)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token ids (little-endian unsigned 32-bit) and their count, with what their decoding gives."""
+    """The documents' token ids (little-endian unsigned 32-bit) and their count, with what their decoding gives.
+
+    A null text has no ids and the digest of the empty text. Every row of docs gives one row, repeated ones too;
+    other columns of docs than doc_id, lang, source and text are not read.
+    """
     coded = bpe_trie.transcode(docs, TOKENIZER, keep=("doc_id", "lang", "source"))
     return coded.select("doc_id", "lang", "source", F.expr("octet_length(token_ids) div 4").alias("n_tokens"), "token_ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
