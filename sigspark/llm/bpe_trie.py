@@ -27,10 +27,13 @@ from sigspark.llm.common import map_batches, small_batches
 
 #: The split pattern of byte-level BPE vocabularies of this kind.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces that a worker keeps encoded; beyond it starts anew. Bounds memory, never results.
-CACHE = 500_000
+#: White space before a space: there the pattern may join the space to what is before.
+SPACED = re.compile(r"\s ")
+#: Bytes of encoded pieces that a worker keeps, by an estimate of ENTRY bytes a piece beside its text and ids, in two halves: when the
+#: young half is full it becomes the old one, and what the old one had and was not used again is gone. Pairs and transitions kept.
+CACHE_BYTES, ENTRY, KEPT = 80_000_000, 200, 300_000
 #: Characters of texts whose pieces are gathered at a time.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -70,8 +73,10 @@ class TrieBpe:
         self.text |= {i: t.encode() for t, i in self.added.items()}
         self.find_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.split = regex.compile(SPLIT)
-        self.first: dict[str, bytes] = {}  # piece at the start of a text -> packed ids
-        self.after: dict[str, bytes] = {}  # piece after a space -> packed ids of space and piece
+        #: young and old half: (words and pieces that follow no space, those that follow one) -> packed ids, with the space's.
+        self.young: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.old: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.held = 0  # estimated bytes of the young half
 
     def _suffixes(self) -> None:
         """An automaton over bytes whose states know the tokens that are suffixes of what was read, longest first.
@@ -104,7 +109,8 @@ class TrieBpe:
                     f = fail[f]
                 fail[s] = to or 0
             ending[s] = (((mine[s], depth[s]),) if mine[s] >= 0 else ()) + ending[fail[s]]
-        self.goto, self.fail, self.ending = goto, fail, ending
+        #: the tokens' own transitions, and with those that were asked for beyond them.
+        self.trie, self.goto, self.fail, self.ending = goto, dict(goto), fail, ending
 
     def _go(self, state: int, byte: int) -> int:
         s = state
@@ -179,44 +185,88 @@ class TrieBpe:
                 at -= size[at - 1]
             yield word, b"".join(reversed(out))
 
-    def _learn(self, first: set[str], after: set[str]) -> None:
-        findall = self.split.findall
-        parts = {(into, p): [(s + p).encode()] if p.isalpha() else [w.encode() for w in findall(s + p)] for into, s, some in ((0, "", first), (1, " ", after)) for p in some}
-        codes = dict(self.encode_words({w for ws in parts.values() for w in ws}))
-        for (into, p), ws in parts.items():
-            (self.after if into else self.first)[p] = b"".join([codes[w] for w in ws])
-
-    def _pieces(self, text: str) -> list[str]:
-        """Pieces that a space divides and that the split pattern never joins; the text itself where spaces touch other white space."""
-        return [text] if re.search(r"\s ", text) else text.split(" ")
+    def _learn(self, wanted: tuple[set[str], set[str]]) -> None:
+        """Puts pieces that follow no space, and those that follow one, in the young half; words are pieces, too."""
+        findall, old = self.split.findall, self.old
+        parts: list[tuple[int, str, list[tuple[int, str]]]] = []
+        new: list[dict[str, None]] = [{}, {}]
+        size = 0
+        for k, space in ((0, ""), (1, " ")):
+            young = self.young[k]
+            for p in wanted[k].difference(young):
+                if (code := old[k].get(p)) is not None:
+                    young[p] = code
+                    size += ENTRY + len(p) + len(code)
+                elif p.isalpha():
+                    new[k][p] = None
+                else:
+                    ws = [(1, w[1:]) if w[0] == " " and w[1:] and not w[1].isspace() else (0, w) for w in findall(space + p)]
+                    if len(ws) == 1:
+                        new[ws[0][0]][ws[0][1]] = None
+                    if ws != [(k, p)]:
+                        parts.append((k, p, ws))
+                    for i, w in ws:
+                        if w not in self.young[i]:
+                            if (code := old[i].get(w)) is not None:
+                                self.young[i][w] = code
+                                size += ENTRY + len(w) + len(code)
+                            else:
+                                new[i][w] = None
+        words = {(" " + w if k else w).encode(): (k, w) for k in (0, 1) for w in new[k] if w not in self.young[k]}
+        for raw, code in self.encode_words(words):
+            k, w = words[raw]
+            self.young[k][w] = code
+            size += ENTRY + len(w) + len(code)
+        for k, p, ws in parts:
+            self.young[k][p] = code = b"".join([self.young[i][w] for i, w in ws])
+            size += ENTRY + len(p) + len(code)
+        self.held += size
+
+    def _age(self) -> None:
+        """Called between blocks: keeps the tables within their bounds."""
+        if self.held > CACHE_BYTES // 2:
+            self.old, self.young, self.held = self.young, ({}, {}), 0
+        if len(self.pairs) > KEPT:
+            self.pairs.clear()
+        if len(self.goto) > len(self.trie) + KEPT:
+            self.goto = dict(self.trie)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Packed little-endian unsigned 32-bit ids of each text."""
+        """Packed little-endian unsigned 32-bit ids of each text.
+
+        A text is cut at its spaces, which the split pattern never joins to what is before; one with white space before
+        a space is cut by the pattern itself.
+        """
         out: list[bytes] = []
         at = 0
         while at < len(texts):
             chars, end = 0, at
+            block: list[list[tuple[int, list, bytes]]] = []
+            wanted: tuple[set[str], set[str]] = (set(), set())
             while end < len(texts) and (end == at or chars + len(texts[end]) <= BLOCK_CHARS):
-                chars, end = chars + len(texts[end]), end + 1
-            block: list[list[tuple[list[str], bytes]]] = []
-            for text in texts[at:end]:
-                spans = self.find_added.split(text) if self.find_added and "<|" in text else [text]
-                block.append([([], struct.pack("<I", self.added[s])) if i % 2 else (self._pieces(s) if s else [], b"") for i, s in enumerate(spans)])
-            first = {p[0] for spans in block for p, _ in spans if p}
-            after: set[str] = set()
-            for spans in block:
-                for p, _ in spans:
-                    after.update(p[1:])
-            new_first, new_after = first.difference(self.first), after.difference(self.after)
-            if len(self.first) + len(self.after) + len(new_first) + len(new_after) > CACHE:
-                self.first.clear()
-                self.after.clear()
-                self.pairs.clear()
-                new_first, new_after = first, after
-            self._learn(new_first, new_after)
-            get = self.after.__getitem__
+                text = texts[end]
+                spans: list[tuple[int, list, bytes]] = []
+                for i, part in enumerate(self.find_added.split(text) if self.find_added and "<|" in text else [text]):
+                    if i % 2:
+                        spans.append((0, [], struct.pack("<I", self.added[part])))
+                    elif SPACED.search(part):
+                        words = [(1, w[1:]) if w[0] == " " and w[1:] and not w[1].isspace() else (0, w) for w in self.split.findall(part)]
+                        spans.append((2, words, b""))
+                        for k, w in words:
+                            wanted[k].add(w)
+                    elif part:
+                        pieces = part.split(" ")
+                        spans.append((1, pieces, b""))
+                        wanted[0].add(pieces[0])
+                        wanted[1].update(pieces[1:])
+                block.append(spans)
+                chars, end = chars + len(text), end + 1
+            self._learn(wanted)
+            first, after = self.young
+            get = after.__getitem__
             for spans in block:
-                out.append(b"".join([self.first[p[0]] + b"".join(map(get, p[1:])) if p else code for p, code in spans]))
+                out.append(b"".join([first[p[0]] + b"".join(map(get, p[1:])) if kind == 1 else b"".join([self.young[k][w] for k, w in p]) if kind else code for kind, p, code in spans]))
+            self._age()
             at = end
         return out
 
@@ -233,9 +283,10 @@ def loaded(path: str) -> TrieBpe:
 def transcode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep`, `token_ids` binary (little-endian unsigned 32-bit ids of the whole text) and `decoded` string.
 
-    A null text counts as empty and gives no ids and an empty text. No shuffle: each task
-    builds the tries of its own batches. path: a tokenizers JSON file at the same place on every
-    executor. Other columns of df are not read.
+    A null text counts as empty and gives no ids and an empty text. Every row gives one, repeated ones too; an
+    empty df gives an empty result; columns of df other than `keep` and the text are not read, and `keep` must not name
+    the results. No shuffle: each task builds the tries of its own batches, in memory bounded by CACHE_BYTES, a block and the
+    longest text. path: a tokenizers JSON file at the same place on every executor.
     """
     small_batches(df.sparkSession)
     narrow = df.select(*keep, text)

@@ -138,11 +138,26 @@ def test_bpe_random(byte_bpe, text):
 
 def test_bpe_small_cache(byte_bpe, monkeypatch):
     mine, theirs = byte_bpe
-    monkeypatch.setattr(bpe_trie, "CACHE", 5)
+    monkeypatch.setattr(bpe_trie, "CACHE_BYTES", 5000)
     monkeypatch.setattr(bpe_trie, "BLOCK_CHARS", 10)
     assert [len(x) // 4 for x in mine.encode_batch(TRICKY)] == [len(r.ids) for r in theirs.encode_batch(TRICKY, add_special_tokens=False)]
 
 
+def test_bpe_tables_are_bounded_by_bytes(byte_bpe, monkeypatch):
+    """Texts of spaced lines are not kept whole, and nothing outlives the bound by more than a block."""
+    mine, _ = byte_bpe
+    monkeypatch.setattr(bpe_trie, "CACHE_BYTES", 4_000_000)
+    monkeypatch.setattr(bpe_trie, "BLOCK_CHARS", 100_000)
+    mine.held = 1 << 40
+    mine._age(), mine._age()
+    texts = ["\n  ".join(f"{rng.getrandbits(40):x}" for _ in range(250)) for _ in range(600)]
+    for i in range(0, len(texts), 100):
+        mine.encode_batch(texts[i : i + 100])
+        for half in (mine.young, mine.old):
+            kept = [(k, v) for d in half for k, v in d.items()]
+            assert sum(bpe_trie.ENTRY + len(k) + len(v) for k, v in kept) <= 2_000_000 + 100_000 * 60 and all(len(k) < 100 for k, _ in kept)
+
+
 def test_bpe_decodes_any_ids(byte_bpe):
     mine, theirs = byte_bpe
     for _ in range(200):
