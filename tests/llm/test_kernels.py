@@ -175,8 +175,21 @@ def counter():
 
 def test_counts_are_the_library(counter):
     want = [len(e.ids) for e in counter.whole.encode_batch(TRICKY, add_special_tokens=False)]
-    assert counter.count_batch(TRICKY) == want
-    assert counter.count_batch(TRICKY, huge=40) == want
+    assert [n for n, _ in counter.count_batch(TRICKY)] == want
+    assert [n for n, _ in counter.count_batch(TRICKY, huge=40)] == want
+
+
+def test_counts_need_a_tokenizer_that_drops_white_space():
+    with pytest.raises(ValueError):
+        token_count.Counter(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_counted_pieces_are_bounded_by_bytes(counter, monkeypatch):
+    monkeypatch.setattr(token_count, "CACHE_BYTES", 200_000)
+    for _ in range(30):
+        texts = [" ".join(f"{rng.getrandbits(60):x}" for _ in range(20)) for _ in range(20)]
+        assert [n for n, _ in counter.count_batch(texts)] == [len(e) for e in counter.whole.encode_batch(texts, add_special_tokens=False)]
+        assert all(sum(token_count.ENTRY + len(k) for k in half) <= 100_000 + 400 * 170 for half in (counter.young, counter.old))
 
 
 def test_resynchronisation(counter):
@@ -186,7 +199,7 @@ def test_resynchronisation(counter):
         if i % 4 == 0:
             text = text[:200] + "z" * rng.randint(100, 4000) + text[200:]
         want = len(counter.whole.encode(text, add_special_tokens=False).ids)
-        assert counter.count_huge(text, rng.choice([64, 200, 900]), rng.choice([4, 16, 64]), rng.choice([1, 8, 32])) == want
+        assert counter.count_huge(text, rng.choice([64, 200, 900]), rng.choice([4, 16, 64]), rng.choice([1, 8, 32]))[0] == want
 
 
 # -- SimHash -----------------------------------------------------------------------------------------------

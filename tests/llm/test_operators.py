@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import os
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,6 +12,7 @@ import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from sigspark.llm import decontaminate, dom_crf, flac, langid, queries, sharding, simhash, url_filter, warc
@@ -90,6 +92,28 @@ def test_sql(spark, odd, name, folder):
     assert sorted(repr(tuple(r[c] for c in cols)) for r in got.collect()) == sorted(repr(tuple(r[i] for i in at)) for r in cur.fetchall())
 
 
+@pytest.mark.parametrize("folder", ["driver", "odd"])
+def test_tokens_are_the_libraries(spark, odd, folder):
+    """op7 and op9 as registered, against the library on whole texts; ordinary long documents go through spliced chunks."""
+    where = DATA if folder == "driver" else odd
+    docs = [(r.doc_id, r.text or "") for r in table(spark, where, "documents").select("doc_id", "text").collect()]
+    of = Tokenizer.from_file(queries.TOKENIZER)
+    want = Counter()
+    for d, t in docs:
+        ids = of.encode(t, add_special_tokens=False).ids
+        want[d, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(of.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.op7_bpe(spark, where).collect()) == want
+    of = Tokenizer.from_file(queries.COUNTER)
+    of.no_truncation()
+    want = Counter()
+    for d, t in docs:
+        n = len(of.encode(t, add_special_tokens=False).ids)
+        want[d, len(t.encode()), n, n > 2048] += 1
+    rows = queries.op9_token_counts(spark, where).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in rows) == want
+    assert sum(r.n_chunks > 1 for r in rows) >= (20 if folder == "driver" else 1)
+
+
 def test_flac_query(spark, odd):
     for r in queries.op1_flac(spark, odd).collect():
         pass
