@@ -345,18 +345,44 @@ def slow_hits(words, items, window):
     return sum(mark), sorted(found)
 
 
-@settings(max_examples=120, deadline=None)
-@given(st.lists(st.sampled_from("abc"), max_size=60), st.lists(st.lists(st.sampled_from("abc"), max_size=20), max_size=5), st.integers(1, 6), st.integers(1, 4), st.dictionaries(st.tuples(st.binary(max_size=1)), st.integers(0, 9)))
-def test_windows(doc, items, window, shingle, counts):
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abc"), max_size=60), max_size=4), st.lists(st.lists(st.sampled_from("abc"), max_size=20), max_size=5, unique_by=tuple), st.integers(1, 6), st.integers(1, 3), st.integers(0, 99), st.sampled_from([7, 1_000_000]))
+def test_windows(docs, items, window, shingle, seed, size):
+    """Hits do not depend on the counts that choose the prefixes, nor on how texts are chunked."""
     items = [(str(i), " ".join(w)) for i, w in enumerate(items)]
-    index = decontaminate.Index(items, window, shingle, counts)
-    words = [w.encode() for w in doc]
-    mark, found = [False] * len(words), set()
-    for p, k in index.hits(words):
-        n = len(index.windows[k][0])
-        mark[p : p + n] = [True] * n
-        found |= set(index.windows[k][1])
-    assert (sum(mark), sorted(found)) == slow_hits(words, items, window)
+    index = decontaminate.Index([(t, [i, i + "x"]) for i, t in items], window, shingle)
+    texts = [None, *(" ".join(d) for d in docs)]
+    g = np.random.default_rng(seed)
+    index.choose(index.count(texts) if seed < 20 else {z: g.integers(0, 3, len(k)) for z, k in index.known.items()})
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(decontaminate, "CHUNK_CHARS", size)
+        m.setattr(decontaminate, "PAIRS", size)
+        got = list(index.hits(texts))
+    assert len(got) == len(texts)
+    for t, (n, spans, ids) in zip(texts, got, strict=True):
+        words = decontaminate.words_of(t)
+        want, found = slow_hits(words, items, window)
+        assert (n, sum(b - a for a, b in zip(spans[::2], spans[1::2], strict=True)), ids) == (len(words), want, sorted([*found, *(i + "x" for i in found)]))
+
+
+def test_counts_of_shingles():
+    index = decontaminate.Index([("a b a b c", ["1"]), ("a", ["2"])], 13, 2)
+    texts = ["a b a", None, "x a b c", "a"]
+    flat = {z: dict(zip(k.tolist(), index.count(texts)[z].tolist(), strict=True)) for z, k in index.known.items()}
+    of = lambda *w: sum(index.number[x] << decontaminate.WORD_BITS * (2 - j) for j, x in enumerate(w))
+    assert flat == {1: {of(b"a"): 4}, 2: {of(b"a", b"b"): 2, of(b"b", b"a"): 1, of(b"b", b"c"): 1}}
+
+
+def test_index_of_a_full_block_is_small():
+    """A block of BLOCK_CHARS characters of text with many distinct words."""
+    import pickle
+
+    g = random.Random(3)
+    texts = [(" ".join(f"{g.getrandbits(18):x}" for _ in range(200)), [str(i)]) for i in range(decontaminate.BLOCK_CHARS // 1100)]
+    index = decontaminate.Index(texts)
+    index.choose({z: np.zeros(len(k), np.int64) for z, k in index.known.items()})
+    index.known = {}
+    assert len(pickle.dumps(index)) < 100_000_000
 
 
 def test_words():

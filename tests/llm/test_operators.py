@@ -204,6 +204,24 @@ def test_contamination(spark, odd, limit):
     assert sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r["items"], r.contaminated) for r in got), key=repr) == sorted(want, key=repr)
 
 
+def test_the_driver_holds_one_block(spark, monkeypatch):
+    """A benchmark of several blocks, with one text in many items: an index at a time, the same hits as with one block."""
+    made, init = [], decontaminate.Index.__init__
+
+    def watched(self, texts, *args):
+        made.append(sum(len(t) + sum(map(len, i)) for t, i in texts))
+        init(self, texts, *args)
+
+    items = spark.createDataFrame([(i, BENCH[0][1] if i % 3 else " ".join(f"w{(i * j) % 53}" for j in range(15))) for i in range(300)], "item_id long, text string")
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string, lang string, source string")
+    monkeypatch.setattr(decontaminate.Index, "__init__", watched)
+    rows = lambda limit: sorted(map(repr, decontaminate.contamination(docs, items, keep=("text",), block_chars=limit).collect()))
+    one = rows(1 << 20)
+    assert len(made) == 1
+    assert rows(900) == one and len(made) > 4 and max(made[1:]) <= 900
+    assert sum("items=['1'" in r for r in one) >= 1
+
+
 def test_shards(spark):
     sizes = [(i, (i * 37) % 101 + 1) for i in range(1000)] + [(5, 9)] * 200 + [(None, 3)] * 50 + [(2000, None)]
     df = spark.createDataFrame(sizes, "k long, size long").repartition(5)
