@@ -18,15 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from sigspark.llm.common import map_batches, map_stream, small_batches
 
 HASH_BITS = 16
 ORDERS = 3
-#: Labelled rows, about as many of each language, that the weights are fitted on at most.
+#: Labelled rows that the weights are fitted on at most, an equal share for each language (and one at least).
 SAMPLE_ROWS = 3000
-MAX_LANGUAGES = 500
-BLOCK_CHARS = 500_000
+BLOCK_CHARS = 200_000
 
 
 @lru_cache(1)
@@ -156,22 +156,23 @@ def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model from the rows of docs with a text and a language; key only orders the sample.
 
-    More than MAX_LANGUAGES distinct languages are an error.
+    A language with few rows has all of them in the sample, however frequent others are; of rows that repeat it has one. There is
+    no bound on the languages: each takes a weight for every hash. No such rows give a model that predicts `und`.
     """
     small_batches(docs.sparkSession)
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(key, F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    counts = dict(map(tuple, rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()))
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    languages = sorted(counts)
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_rows"))
+    languages = sorted(r.lang for r in counts.select("lang").collect())  # a row for each language
     if not languages:
         return Model([], np.zeros((0, 0)), np.zeros(0), 1.0)
     df, n = document_frequencies(rows, "text")
     idf = np.log((1 + n) / (1 + df)) + 1
-    share = F.create_map(*[x for name in languages for x in (F.lit(name), F.lit(1.1 * sample_rows / len(languages) / counts[name]))])
-    draw = F.col("draw") / float(1 << 31)
-    chosen = rows.withColumn("draw", F.pmod(F.xxhash64(key, F.octet_length("text"), "lang"), F.lit(1 << 31))).where(draw < share[F.col("lang")])
-    chosen = chosen.dropDuplicates(["draw"])  # of rows that repeat, one: the sample stays bounded
+    quota = max(1, sample_rows // len(languages))
+    # the draw leaves some rows more than the quota in all but rare cases, and all rows of small languages
+    share = (quota + 4 * math.sqrt(quota) + 10) / F.col("_rows")
+    drawn = rows.withColumn("draw", F.pmod(F.xxhash64(key, F.octet_length("text"), "lang"), F.lit(1 << 31))).join(F.broadcast(counts), "lang").where(F.col("draw") / float(1 << 31) < share)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    chosen = drawn.select("lang", "draw", "text").dropDuplicates(["lang", "draw"]).withColumn("nth", place).where(F.col("nth") <= quota)
 
     def vectors(b: pa.RecordBatch) -> pa.RecordBatch:
         hs, xs = [], []
@@ -180,24 +181,25 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
                 h, c = np.unique(hashes[:, a:e], return_counts=True)
                 hs.append(h)
                 xs.append((c / (ORDERS * (e - a)) * idf[h]).astype(np.float32))
-        return pa.RecordBatch.from_arrays([b["lang"], b["draw"], pa.array(hs, pa.list_(pa.int32())), pa.array(xs, pa.list_(pa.float32()))], ["lang", "draw", "h", "x"])
-
-    sample = map_batches(chosen, vectors, "lang string, draw long, h array<int>, x array<float>").orderBy("draw").limit(sample_rows).toArrow()
-    place = {name: i for i, name in enumerate(languages)}
-    parts: tuple[list, list] = ([], [])
-    for i, (name, draw) in enumerate(zip(sample["lang"].to_pylist(), sample["draw"].to_pylist(), strict=True)):
-        parts[draw % 5 == 0].append((sample["h"][i].values.to_numpy(), sample["x"][i].values.to_numpy().astype(np.float64), place[name]))
-    fit, rest = parts if parts[0] else parts[::-1]
+        return pa.RecordBatch.from_arrays([b["lang"], b["draw"], b["nth"], pa.array(hs, pa.list_(pa.int32())), pa.array(xs, pa.list_(pa.float32()))], ["lang", "draw", "nth", "h", "x"])
+
+    sample = map_batches(chosen, vectors, "lang string, draw long, nth int, h array<int>, x array<float>").toArrow().sort_by([("lang", "ascending"), ("draw", "ascending")]).combine_chunks()
+    number = {name: i for i, name in enumerate(languages)}
+    fit: list = []
+    rest: list = []  # every fifth row of a language, so that those with few are fitted on all
+    hashes, values = sample["h"], sample["x"]
+    for i, (name, nth) in enumerate(zip(sample["lang"].to_pylist(), sample["nth"].to_pylist(), strict=True)):
+        (rest if nth % 5 == 0 else fit).append((hashes[i].values.to_numpy(), values[i].values.to_numpy().astype(np.float64), number[name]))
     weights, bias = _ftrl(sorted(fit, key=lambda r: (r[2], len(r[0]), float(r[1].sum()))), len(languages))
     logits = np.array([x @ weights[h] + bias for h, x, _ in rest]).reshape(len(rest), len(languages))
-    return Model(languages, weights * idf[:, None], bias, _temperature(logits, np.array([y for *_, y in rest], int)))
+    return Model(languages, (weights * idf[:, None]).astype(np.float32), bias, _temperature(logits, np.array([y for *_, y in rest], int)))
 
 
 def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """df with `lang_pred` string and `score` double (0 to 1); earlier columns of these names are replaced.
 
-    A null text, or one without letters, gives `und` and 0. No shuffle; the model has at most
-    2 ** HASH_BITS rows of MAX_LANGUAGES weights.
+    A null or empty text, or one without letters, gives `und` and 0. Every row gives one, repeated ones too; an empty df gives an
+    empty result. No shuffle; the model sent to the tasks has 2 ** HASH_BITS single-precision weights a language (256 kB).
     """
     small_batches(df.sparkSession)
     df = df.drop("lang_pred", "score")

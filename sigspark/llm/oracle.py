@@ -19,7 +19,7 @@ FROM d LEFT JOIN cover USING (r) LEFT JOIN items USING (r)
 OP6 = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN first END AS refers_to FROM f
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM first THEN first END AS refers_to FROM f
 """
 
 #: The checksum's table and steps are the published CRC-32 over the text's bytes, taken from their hexadecimal digits.
@@ -27,7 +27,7 @@ OP5 = """
 WITH t AS (SELECT list(c ORDER BY k) AS tab FROM (SELECT k, list_reduce(list_prepend(CAST(k AS BIGINT), range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(k))),
 d AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
 c AS (SELECT doc_id, size, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST('0x' || x AS BIGINT) FOR x IN regexp_extract_all(h, '..')]), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS text_crc32 FROM d, t),
-s AS (SELECT *, sum(size) OVER (ORDER BY doc_id, text_crc32, size ROWS UNBOUNDED PRECEDING) - size AS begin, sum(size) OVER () AS total FROM c),
+s AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING) - size AS begin, sum(size) OVER () AS total FROM c),
 p AS (SELECT *, CAST(least(((2 * begin + size) * 16) // (2 * total), 15) AS INTEGER) AS shard FROM s)
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY begin) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p
 """

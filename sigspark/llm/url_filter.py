@@ -62,13 +62,13 @@ def _codes(url: Column) -> Column:
 
 def _steps(url: Column) -> Column:
     """Per character, the number of its context and itself: base-SIZE digits, oldest first."""
-    span = SIZE**ORDER
-    run = F.aggregate(
-        _codes(url),
-        F.struct(F.lit(0).alias("ctx"), F.array().cast("array<int>").alias("out")),
-        lambda a, c: F.struct(((a["ctx"] * SIZE + c) % span).alias("ctx"), F.concat(a["out"], F.array(a["ctx"] * SIZE + c)).alias("out")),
-    )
-    return run["out"]
+
+    def steps(codes: Column) -> Column:
+        before = lambda i, j: F.coalesce(F.get(codes, i - j), F.lit(0)) * SIZE**j
+        return F.transform(codes, lambda c, i: sum((before(i, j) for j in range(1, ORDER + 1)), c))
+
+    # an array of one array binds the symbols to a name, so that they are made once a url
+    return F.transform(F.array(_codes(url)), steps)[0]
 
 
 def train(labelled: DataFrame, url: str = "url", accepted: str = "accepted") -> DataFrame:

@@ -16,7 +16,7 @@ import json
 import re
 import uuid
 import zlib
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,8 +33,11 @@ REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 256_000_000
 #: Captures of an index block.
 BLOCK_LINES = 256
-#: Digests of repeated payloads up to which they go to every task; more are joined by a shuffle.
+#: Digests of repeated payloads up to which they go to every task; more are joined by a shuffle, but for those with more than HOT rows.
 BROADCAST_DIGESTS = 100_000
+HOT = 100_000
+#: Rows and bytes of payloads that a look-up hands on at a time.
+READ_ROWS, READ_BYTES = 256, 16_000_000
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -115,9 +118,17 @@ def write(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(key).cast("string").alias("page"), F.col(key).alias("order"), F.col(url).alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"), capture_key(F.col(url)).alias("ckey"))
     # only digests move here, summed in each task first
-    again = cut(rows.where(F.octet_length("payload") >= REVISIT_BYTES).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("order").alias("first")).where("n > 1 and first is not null").select("digest", "first"))
+    again = cut(rows.where(F.octet_length("payload") >= REVISIT_BYTES).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("order").alias("first")).where("n > 1 and first is not null"))
     some = again.limit(BROADCAST_DIGESTS + 1).count()
-    rows = rows.join(F.broadcast(again) if some <= BROADCAST_DIGESTS else again, "digest", "left") if some else rows.withColumn("first", F.lit(None).cast("string"))
+    if not some:
+        rows = rows.withColumn("first", F.lit(None).cast(pages.schema[key].dataType))
+    elif some <= BROADCAST_DIGESTS:
+        rows = rows.join(F.broadcast(again.drop("n")), "digest", "left")
+    else:
+        # those with many rows, of which there are few, go to every task, so that no task gets all rows of one
+        hot = rows.join(F.broadcast(again.where(F.col("n") > HOT).drop("n")), "digest", "left")
+        rest = hot.where("first is null").drop("first").join(again.where(F.col("n") <= HOT).drop("n"), "digest", "left")
+        rows = hot.where("first is not null").unionByName(rest)
     rows = rows.withColumn("refers", F.when(~F.col("order").eqNullSafe(F.col("first")), F.col("first").cast("string"))).drop("order", "first")
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,31 +206,44 @@ class Reader:
             self.inputs[name] = self.fs.open_input_file(f"{self.path}/{name}")
         return zlib.decompress(self.inputs[name].read_at(size, at), 31)
 
-    def captures(self, key: str) -> Iterator[tuple[str, str | None, str, int, int]]:
-        """Lines (key, page, file, offset, length) of a key, in order."""
-        # equal keys can begin in the file, and the block, before the first that starts with the key
+    def files(self, key: str) -> Iterator[int]:
+        """Index files that can have lines of a key: equal keys can begin in the one before the first that starts with it."""
         f = max(0, bisect_left(self.firsts, key) - 1)
         while f < len(self.firsts) and self.firsts[f] <= key:
-            name = self.archive.files[f][1]
-            if self.directory[0] != name:
-                with self.fs.open_input_file(f"{self.path}/{name}.dir") as d:
-                    self.directory = (name, json.loads(d.read()))
-            blocks = self.directory[1]
-            b = max(0, bisect_left(blocks, key, key=lambda x: x[0]) - 1)
-            while b < len(blocks) and blocks[b][0] <= key:
-                if self.block[:2] != (name, b):
-                    _, at, size = blocks[b]
-                    self.block = (name, b, [json.loads(x) for x in self._range(f"{name}.gz", at, size).decode().split("\n")[:-1]])
-                lines = self.block[2]
-                i = bisect_left(lines, key, key=lambda x: x[0])
-                while i < len(lines) and lines[i][0] == key:
-                    yield tuple(lines[i])
-                    i += 1
-                if i < len(lines):
-                    return
-                b += 1
+            yield f
             f += 1
 
+    def blocks(self, f: int, key: str) -> Iterator[int]:
+        """Blocks of an index file that can have lines of a key, by binary search in its directory."""
+        name = self.archive.files[f][1]
+        if self.directory[0] != name:
+            with self.fs.open_input_file(f"{self.path}/{name}.dir") as d:
+                self.directory = (name, json.loads(d.read()))
+        blocks = self.directory[1]
+        b = max(0, bisect_left(blocks, key, key=lambda x: x[0]) - 1)
+        while b < len(blocks) and blocks[b][0] <= key:
+            yield b
+            b += 1
+
+    def lines(self, f: int, b: int, key: str) -> Iterator[tuple[str, str | None, str, int, int]]:
+        """Lines (key, page, file, offset, length) of a key in a block."""
+        name = self.archive.files[f][1]
+        if self.block[:2] != (name, b):
+            next(self.blocks(f, key), None)  # loads the directory
+            _, at, size = self.directory[1][b]
+            self.block = (name, b, [json.loads(x) for x in self._range(f"{name}.gz", at, size).decode().split("\n")[:-1]])
+        lines = self.block[2]
+        i = bisect_left(lines, key, key=lambda x: x[0])
+        while i < len(lines) and lines[i][0] == key:
+            yield tuple(lines[i])
+            i += 1
+
+    def captures(self, key: str) -> Iterator[tuple[str, str | None, str, int, int]]:
+        """Lines of a key in the whole index, in order."""
+        for f in self.files(key):
+            for b in list(self.blocks(f, key)):
+                yield from self.lines(f, b, key)
+
     def record(self, name: str, at: int, size: int) -> bytes:
         return self._range(name, at, size)
 
@@ -227,21 +251,31 @@ class Reader:
 def lookup(queries: DataFrame, archive: Archive, url: str = "url") -> DataFrame:
     """Every capture of every distinct url of queries, read back: `page` string, `payload_bytes` long, `payload_digest` string, `record_type` string, `refers_to` string, `payload` binary (null for revisits).
 
-    Responses' payloads are checked against their digests. A url that was never captured gives no row.
+    Responses' payloads are checked against their digests. A url that was never captured gives no row; null urls are
+    one key, like any other; no queries, or an archive of nothing, give an empty result. Tasks are dealt blocks of the index, not
+    keys, so the captures of a frequent url are read by many of them.
     """
     small_batches(queries.sparkSession)
     n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    firsts = [k for k, _ in archive.files]
     keyed = queries.select(capture_key(F.col(url)).alias("ckey")).distinct()
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def to_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(archive)
+        for b in batches:
+            made = [(k, f) for k in b["ckey"].to_pylist() for f in reader.files(k)]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in made], pa.string()), pa.array([f for _, f in made], pa.int32())], ["ckey", "file"])
+
+    def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(archive)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b["ckey"], pa.array([max(0, bisect_right(firsts, k) - 1) for k in b["ckey"].to_pylist()], pa.int32())], ["ckey", "part"])
+            made = [(k, f, i) for k, f in zip(b["ckey"].to_pylist(), b["file"].to_pylist(), strict=True) for i in reader.blocks(f, k)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in made], t) for j, t in enumerate((pa.string(), pa.int32(), pa.int32()))], ["ckey", "file", "block"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(archive)
         for b in batches:
-            for chunk in _chunks((c for k in b["ckey"].to_pylist() for c in reader.captures(k)), 256):
+            found = (c for k, f, i in zip(b["ckey"].to_pylist(), b["file"].to_pylist(), b["block"].to_pylist(), strict=True) for c in reader.lines(f, i, k))
+            for chunk in _chunks(found):
                 rows = []
                 for _, page, name, at, size in chunk:
                     head, payload, declared = parse_record(reader.record(name, at, size))
@@ -256,16 +290,20 @@ def lookup(queries: DataFrame, archive: Archive, url: str = "url") -> DataFrame:
 
     if not archive.files:
         return queries.sparkSession.createDataFrame([], "page string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary")
-    placed = map_stream(keyed, place, "ckey string, part int").repartition(n, "part").sortWithinPartitions("part", "ckey")
-    return map_stream(placed, read, "page string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary")
+    files = map_stream(keyed, to_files, "ckey string, file int").repartition(n, "file").sortWithinPartitions("file", "ckey")
+    blocks = map_stream(files, to_blocks, "ckey string, file int, block int").repartition(n, "file", "block").sortWithinPartitions("file", "block", "ckey")
+    return map_stream(blocks, read, "page string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary")
 
 
-def _chunks(rows: Iterator, size: int) -> Iterator[list]:
-    held = []
+def _chunks(rows: Iterator) -> Iterator[list]:
+    """Captures (the last field is the stored length) by READ_ROWS, or fewer large ones."""
+    held: list = []
+    size = 0
     for r in rows:
         held.append(r)
-        if len(held) == size:
+        size += r[-1]
+        if len(held) == READ_ROWS or size >= READ_BYTES:
             yield held
-            held = []
+            held, size = [], 0
     if held:
         yield held

@@ -79,8 +79,6 @@ def test_awkward_rows(spark, odd, name):
 @pytest.mark.parametrize("folder", ["driver", "odd"])
 def test_sql(spark, odd, name, folder):
     where = DATA if folder == "driver" else odd
-    if folder == "odd" and name in ("op6_warc", "op5_shards"):
-        pytest.skip("repeated keys tie")
     con = duckdb.connect()
     for t in ("documents", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{where}/{t}.parquet{'/*.parquet' if os.path.isdir(f'{where}/{t}.parquet') else ''}'")
@@ -89,6 +87,11 @@ def test_sql(spark, odd, name, folder):
     at = [[c[0] for c in cur.description].index(c) for c in cols]
     got = ALL[name](spark, where)
     assert sorted(got.columns) == cols
+    if folder == "odd" and name == "op5_shards":  # repeated rows tie in their order, so shards and slots are compared by themselves
+        rows, theirs = got.collect(), cur.fetchall()
+        for part in (["doc_id", "size", "text_crc32", "law", "grown_shard"], ["shard", "slot", "size", "text_crc32"]):
+            assert Counter(tuple(r[c] for c in part) for r in rows) == Counter(tuple(r[at[cols.index(c)]] for c in part) for r in theirs)
+        return
     assert sorted(repr(tuple(r[c] for c in cols)) for r in got.collect()) == sorted(repr(tuple(r[i] for i in at)) for r in cur.fetchall())
 
 
@@ -165,6 +168,48 @@ def test_url_model(spark):
         assert math.isclose(got[u], total / len(u) if u else 0.0, abs_tol=1e-8)
 
 
+def test_url_verdicts(spark):
+    """Threshold and verdicts of the query, from dictionaries and a search over all cuts."""
+    rows = queries.op2_url_filter(spark, DATA).collect()
+    allowed = {str(r) for r in queries.RULES if r.allow}
+    held = lambda u: zlib.crc32((u or "").encode()) % 5 == 0
+    place = {c: i + 1 for i, c in enumerate(url_filter.SYMBOLS)}
+    codes = lambda u: [place.get("0" if c.isascii() and c.isdigit() else c.lower() if c.isascii() else c, url_filter.SIZE - 1) for c in u]
+    known = [r for r in rows if r.rule]
+    urls = {r.page_id: r.url for r in table(spark, DATA, "pages").collect()}
+    learn = lambda side: [urls[r.page_id] for r in known if (r.rule in allowed) == side and not held(urls[r.page_id])]
+    ratio = slow_ratio(learn(True), learn(False), url_filter.ORDER, url_filter.SIZE, codes)
+
+    def score(u):
+        ctx, total = (0,) * url_filter.ORDER, 0.0
+        for c in codes(u or ""):
+            total += ratio(ctx, c)
+            ctx = (*ctx[1:], c)
+        return total / len(u) if u else 0.0
+
+    scores = {r.page_id: score(urls[r.page_id]) for r in rows}
+    assert all(math.isclose(r.score, scores[r.page_id], abs_tol=1e-8) for r in rows)
+    calibrate = [(math.floor(round(scores[r.page_id], 9) * 100), r.rule in allowed) for r in known if held(urls[r.page_id])]
+    good, bad = [b for b, y in calibrate if y], [b for b, y in calibrate if not y]
+    assert good and bad
+    bins = sorted({b for b, _ in calibrate})
+    balanced = {b: sum(x >= b for x in good) / len(good) + sum(x < b for x in bad) / len(bad) for b in bins}
+    best = next(b for b in bins if balanced[b] == max(balanced.values()))
+    at = (best + (max(b for b in bins if b < best) + 1 if best > bins[0] else best)) / 200
+    for r in rows:
+        assert r.verdict == ("allow" if (r.rule in allowed if r.rule else round(scores[r.page_id], 9) >= at) else "block")
+
+
+def test_long_labelled_urls_take_linear_time(spark):
+    import time
+
+    df = spark.createDataFrame([("http://good.org/" + "ab" * 100_000, True), ("http://bad.net/" + "x?" * 100_000, False)], "url string, accepted boolean")
+    url_filter.train(df.limit(0))
+    began = time.time()
+    assert url_filter.train(df).count() == 1
+    assert time.time() - began < 30
+
+
 def test_url_filter_is_native(spark):
     df = queries.op2_url_filter(spark, DATA)
     plan = df._jdf.queryExecution().executedPlan().toString()
@@ -257,6 +302,22 @@ def test_warc(spark):
     assert all((r.payload is None) == (r.record_type == "revisit") for r in got)
 
 
+@pytest.mark.parametrize("digests", [100_000, 0])
+def test_warc_hot_url_and_payload(spark, monkeypatch, digests):
+    """One url on half the rows, null on a quarter, one payload on half the rows: all are read, by many tasks."""
+    monkeypatch.setattr(warc, "BLOCK_LINES", 20)
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", digests)
+    monkeypatch.setattr(warc, "HOT", 100)
+    rows = [(i, "http://hot.org/" if i % 2 else None if i % 4 else f"http://u{i}.org/", "same " * 300 if i % 2 == i // 2 % 2 else f"own {i} " * (200 if i % 3 else 1)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    found = warc.lookup(df, warc.write(df))
+    got = found.withColumn("task", F.spark_partition_id()).collect()
+    top = max(i for i, _, h in rows if h.startswith("same"))
+    assert sorted((int(r.page), r.record_type, r.refers_to) for r in got) == sorted((i, *(("revisit", str(top)) if h.startswith("same") and i != top else ("response", None))) for i, _, h in rows)
+    per = Counter(r.task for r in got)
+    assert len(per) == 4 and max(per.values()) < 0.5 * len(rows)
+
+
 def test_warc_lookup_of_some(spark, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK_LINES", 5)
     monkeypatch.setattr(warc, "BROADCAST_DIGESTS", 0)
@@ -281,6 +342,74 @@ def test_language(spark):
     assert all(0 <= x.score <= 1 for x in r)
 
 
+def test_rare_languages_are_learnt(spark):
+    """Twenty frequent languages and five rare ones, in a sample far smaller than the table."""
+    word = lambda k, i: " ".join(chr(0x3B1 + (i * j) % 9) + chr(0x410 + k) * 2 + chr(0x3B1 + j % 7) for j in range(1, 9))
+    rows = [(1000 * k + i, word(k, i), f"l{k}") for k in range(25) for i in range(400 if k < 20 else 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = langid.train(df, sample_rows=150)
+    names, _ = model.predict([word(k, 1) for k in range(25)])
+    assert model.languages == sorted({x[2] for x in rows}) and names == [f"l{k}" for k in range(25)]
+
+
+def test_language_model_by_hand(spark):
+    """TF-IDF, FTRL with its elastic net and the temperature's input by dictionaries over all rows."""
+    words = {"en": "the rain falls on a mill and river", "de": "der Regen fällt über die Mühle am Fluß", "fr": "il pleut sur le moulin près de l'eau"}
+    rows = [(i, " ".join(words[lang].split()[j % 7 :] + [lang * (j % 3)] * (j % 2)), lang) for i, (lang, j) in enumerate((x, y) for x in words for y in range(8))]
+    rows = list({(t, lang): (i, t, lang) for i, t, lang in rows}.values())
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=3 * 100)
+
+    def hashes(t):
+        t = "".join(c if c.isalpha() else " " for c in t.lower()) + " " * langid.ORDERS
+        out = []
+        for i in range(len(t)):
+            h = 0
+            for n in range(langid.ORDERS):
+                # what begins in the padding is all spaces, like what begins with it
+                c = t[i + n] if i + n < len(t) else " "
+                h = ((h ^ ord(c)) * 2654435761 + n + 1) % 2**32
+                out.append(((h ^ h >> 15) * 2246822519) % 2**32 >> 32 - langid.HASH_BITS)
+        return out
+
+    grams = [Counter(hashes(t)) for _, t, _ in rows]
+    idf = defaultdict(lambda: math.log(1 + len(rows)) + 1, {h: math.log((1 + len(rows)) / (1 + sum(h in g for g in grams))) + 1 for g in grams for h in g})
+    langs = sorted(words)
+    draw = {r.doc_id: r.d for r in spark.createDataFrame(rows, "doc_id long, text string, lang string").select("doc_id", F.pmod(F.xxhash64("doc_id", F.octet_length("text"), "lang"), F.lit(1 << 31)).alias("d")).collect()}
+    fit = []
+    for lang in langs:
+        for nth, (_, k) in enumerate(sorted((draw[i], k) for k, (i, _, x) in enumerate(rows) if x == lang), 1):
+            if nth % 5:
+                n = sum(grams[k].values())
+                fit.append(({h: np.float64(np.float32(c / n * idf[h])) for h, c in sorted(grams[k].items())}, langs.index(lang)))
+    fit.sort(key=lambda r: (r[1], len(r[0]), float(np.array(list(r[0].values())).sum())))
+    alpha, beta, l1, l2 = 5.0, 1.0, 1e-4, 1e-4
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(key):
+        if key[0] == "bias":
+            return -z[key] / ((beta + math.sqrt(n[key])) / alpha + l2)
+        return 0.0 if abs(z[key]) <= l1 else (math.copysign(l1, z[key]) - z[key]) / ((beta + math.sqrt(n[key])) / alpha + l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(4):
+        for k in order.permutation(len(fit)):
+            x, y = fit[k]
+            feats = [*x.items(), ("bias", 1.0)]
+            w = {(h, c): weight((h, c)) for h, _ in feats for c in range(3)}
+            s = [sum(w[h, c] * v for h, v in feats) for c in range(3)]
+            p = [math.exp(v - max(s)) for v in s]
+            for c in range(3):
+                e = p[c] / sum(p) - (c == y)
+                for h, v in feats:
+                    g = e * v
+                    z[h, c] += g - (math.sqrt(n[h, c] + g * g) - math.sqrt(n[h, c])) / alpha * w[h, c]
+                    n[h, c] += g * g
+    assert np.allclose(model.bias, [weight(("bias", c)) for c in range(3)], atol=1e-9)
+    want = {(h, c): weight((h, c)) * idf[h] for h, c in list(z) if h != "bias"}
+    assert all(math.isclose(model.table[h, c], v, rel_tol=1e-4, abs_tol=1e-5) for (h, c), v in want.items())
+    assert np.count_nonzero(model.table) == sum(v != 0 for v in want.values()) > 100
+
+
 def test_language_rejects_what_has_no_letters(spark, odd):
     r = {(x.doc_id, x.lang_pred, x.score) for x in queries.op8_langid(spark, odd).where("lang_pred = 'und'").collect()}
     assert r == {(3, "und", 0.0), (4, "und", 0.0), (5, "und", 0.0), (6, "und", 0.0), (None, "und", 0.0)}
