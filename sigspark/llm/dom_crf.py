@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import html as entities
 import re
-from dataclasses import dataclass, field
+from collections import Counter
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -23,6 +24,9 @@ from sigspark.llm.common import map_batches, small_batches
 #: Labelled pages of the generator that the field is trained on, its seed, and passes over them.
 TRAIN_PAGES, SEED, EPOCHS = 1200, 11, 7
 
+#: Blocks of the training pages that a feature must hold for.
+LEAST = 3
+
 # HTML's element kinds.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()) | frozenset("math menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,29 +43,42 @@ _ATTRS = r"""(?:"[^"<]*"|'[^'<]*'|[^'"<>])*+>"""
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<empty>svg)\b{_ATTRS}(?<=/>)|<(?P<unseen>{UNSEEN})\b{_ATTRS}.*?(?:</(?P=unseen)\s*>|(?=<body\b)|\Z)|</?(?P<tag>[a-z][a-z0-9:-]*){_ATTRS}|</?(?P<loose>[a-z][a-z0-9:-]*)[^<>]*>?|<[!?][^>]*>?", re.S | re.I)
 NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PARTS = re.compile(r"[a-z]+")
-#: Words in class names and ids that are features of their own; any other word is left out.
-HINTS = frozenset("ad ads bar box panel side topbar advert advertisement advertising article aside author banner blog body breadcrumb breadcrumbs byline caption comment comments consent content cookie copyright discussion dropdown entry feed footer form gdpr header hero lead legal links login main masthead menu modal nav navbar navigation newsletter notice pagination pager popup post print promo promoted recommended related replies reply respond search share sharing shop sidebar signup site skip social sponsor sponsored story subscribe tags teaser text toc toolbar top widget widgets".split())
 
 
-@dataclass
+@dataclass(eq=False, slots=True)
+class Node:
+    """An open element: what it adds to the features of its ancestors, so that a page's nodes take memory and time linear in the page."""
+
+    tag: str
+    names: tuple[str, ...]  # feature names of its tag and of the words in its class, id, role and itemprop
+    added: tuple[str, ...]  # those that no ancestor has
+    near: frozenset[str]  # words of the nearest element that has any, itself or an ancestor
+    sections: tuple[str, ...]  # the two innermost sectioning elements, itself among them
+    parent: Node | None
+
+
+@dataclass(slots=True)
 class Block:
     text: str
-    tags: tuple[str, ...]  # ancestors from the outside, the nearest last
-    hints: frozenset[str]  # of all ancestors
-    near: frozenset[str]  # of the nearest ancestor that has any
+    node: Node | None  # the innermost open element
     linked: int  # characters within links
 
-
-@dataclass
-class Open:
-    tag: str
-    hints: frozenset[str] = field(default_factory=frozenset)
+    @property
+    def tags(self) -> tuple[str, ...]:
+        """Ancestors from the outside, the nearest last."""
+        out, n = [], self.node
+        while n:
+            out.append(n.tag)
+            n = n.parent
+        return tuple(reversed(out))
 
 
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a whole page with text, in order; white space inside is one space."""
     out: list[Block] = []
-    stack: list[Open] = []
+    stack: list[Node] = []
+    active: Counter[str] = Counter()  # names of the open elements
+    opened: Counter[str] = Counter()  # and their tags
     text: list[str] = []
     linked = links = at = 0
     page = page or ""
@@ -71,18 +88,33 @@ def blocks(page: str | None) -> list[Block]:
         if text:
             own = " ".join(entities.unescape("".join(text)).split())
             if own:
-                out.append(Block(own, tuple(o.tag for o in stack), frozenset().union(*(o.hints for o in stack)), next((o.hints for o in reversed(stack) if o.hints), frozenset()), linked))
+                out.append(Block(own, stack[-1] if stack else None, linked))
             text.clear()
         linked = 0
 
+    def push(tag: str, words: set[str]) -> None:
+        up = stack[-1] if stack else None
+        names = (f"in={tag}", *(f"hint={w}" for w in sorted(words)))
+        added = tuple(n for n in names if not active[n])
+        active.update(names)
+        opened[tag] += 1
+        sections = ((*up.sections, tag)[-2:] if tag in SECTIONS else up.sections) if up else ((tag,) if tag in SECTIONS else ())
+        stack.append(Node(tag, names, added, frozenset(words) or (up.near if up else frozenset()), sections, up))
+
+    def pop() -> str:
+        node = stack.pop()
+        active.subtract(node.names)
+        opened[node.tag] -= 1
+        return node.tag
+
     for m in TOKEN.finditer(page):
         if m.start() > at:
             text.append(page[at : m.start()])
             if links:
                 linked += m.start() - at
         at = m.end()
-        if stack and stack[-1].tag == "head" and "".join(text).strip():
-            stack.pop()
+        if stack and stack[-1].tag == "head" and text and text[-1].strip():
+            pop()
         if m["unseen"] or m["empty"]:
             continue
         tag = (m["tag"] or m["loose"] or "").lower()
@@ -90,7 +122,7 @@ def blocks(page: str | None) -> list[Block]:
             continue
         closing = page[m.start() + 1] == "/"
         if stack and stack[-1].tag == "head" and not closing and tag not in IN_HEAD:
-            stack.pop()
+            pop()
         if tag in INLINE:
             if tag == "br":
                 text.append(" ")
@@ -100,38 +132,39 @@ def blocks(page: str | None) -> list[Block]:
         end()
         links = 0
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            while opened[tag] and pop() != tag:
+                pass
             continue
         shut = CLOSES.get(tag)
         if stack and (shut and stack[-1].tag in shut or tag in PARAGRAPH_ENDS and stack[-1].tag == "p"):
-            stack.pop()
+            pop()
         if tag not in VOID and not page.startswith("/>", m.end() - 2):
-            hints = frozenset(w for v in NAMES.findall(m[0]) for w in PARTS.findall("".join(v).lower()) if w in HINTS) if "=" in m[0] else frozenset()
-            stack.append(Open(tag, hints))
+            push(tag, {w for v in NAMES.findall(m[0]) for w in PARTS.findall("".join(v).lower())} if "=" in m[0] else set())
     if at < len(page):
         text.append(page[at:])
         if stack and stack[-1].tag == "head" and page[at:].strip():
-            stack.pop()
+            pop()
         if links:
             linked += len(page) - at
     end()
     return out
 
 
-def features(own: list[Block]) -> list[list[str]]:
-    """Names of the features that hold for each block."""
+def _local(own: list[Block]) -> list[list[str]]:
+    """Features of each block's text, of its place among the blocks, of its element and sections, and of its kin: the words of the blocks whose elements have the same parent, or are children of its grandparent."""
     out, n = [], len(own)
+    words = [b.text.count(" ") + 1 for b in own]
+    kin: Counter[int] = Counter()
+    for b, w in zip(own, words, strict=True):
+        kin[id(b.node.parent) if b.node else 0] += w
+    most = max(kin.values(), default=0)
     for i, b in enumerate(own):
-        size, words = len(b.text), b.text.count(" ") + 1
-        f = ["bias", f"own={b.tags[-1] if b.tags else ''}", f"words={min(words, 64).bit_length()}", f"links={min(4, 5 * b.linked // size)}"]
-        f += {f"in={t}" for t in b.tags} | {f"hint={h}" for h in b.hints} | {f"near={h}" for h in b.near}
-        inner = [t for t in b.tags if t in SECTIONS][-2:]
-        f.append(f"sections={'>'.join(inner)}")
-        f.append(f"section={inner[-1] if inner else ''} own={b.tags[-1] if b.tags else ''}")
-        f.append(f"end={b.text[-1] if b.text[-1] in '.!?:;,…' else 'w' if b.text[-1].isalnum() else 'o'}")
+        size, last, node = len(b.text), b.text[-1], b.node
+        tag, inner, up = (node.tag, node.sections, node.parent) if node else ("", (), None)
+        near, far = kin[id(up) if node else 0], kin[id(up.parent)] if up and id(up.parent) in kin else 0
+        f = ["bias", f"words={min(words[i], 64).bit_length()}", f"links={min(4, 5 * b.linked // size)}", f"end={last if last in '.!?:;,…' else 'w' if last.isalnum() else 'o'}"]
+        f += [f"own={tag}", f"sections={'>'.join(inner)}", f"section={inner[-1] if inner else ''} own={tag}"]
+        f += [f"kin={min(near, 1023).bit_length()}", f"far={min(far, 1023).bit_length()}", f"most={near == most}{far == most}", f"up={up.tag if up else ''} own={tag}"]
         if "©" in b.text or "|" in b.text or "»" in b.text or "·" in b.text:
             f.append("mark")
         if b.text.count(",") + b.text.count(".") >= 2:
@@ -144,6 +177,18 @@ def features(own: list[Block]) -> list[list[str]]:
     return out
 
 
+def features(own: list[Block]) -> list[list[str]]:
+    """Names of the features that hold for each block: its local ones, those of all its ancestors, and of the nearest that has names."""
+    out = _local(own)
+    for f, b in zip(out, own, strict=True):
+        node = b.node
+        f += [f"near={w}" for w in sorted(node.near)] if node else []
+        while node:
+            f += node.added
+            node = node.parent
+    return out
+
+
 @dataclass
 class Field:
     """Weights: of features by label (0 not content, 1 content), and of transitions between labels."""
@@ -152,23 +197,46 @@ class Field:
     state: np.ndarray  # (features, 2)
     step: np.ndarray  # (2, 2)
 
-    def scores(self, own: list[Block]) -> np.ndarray:
-        names, state = self.names, self.state
-        return np.array([state[[names[x] for x in f if x in names]].sum(0) for f in features(own)])
+    def _up(self, node: Node | None, known: dict[int, tuple[float, float, float, float]]) -> tuple[float, float, float, float]:
+        """A node's sums of weights, by label: of all names to the root, and of the nearest names; made once for each node from its parent's."""
+        path, weights, names = [], self._pairs(), self.names
+        while node and id(node) not in known:
+            path.append(node)
+            node = node.parent
+        got = known[id(node)] if node else (0.0, 0.0, 0.0, 0.0)
+        for n in reversed(path):
+            u, v, p, q = got
+            for x in n.added:
+                if (k := names.get(x)) is not None:
+                    u, v = u + weights[k][0], v + weights[k][1]
+            if not n.parent or n.near is not n.parent.near:
+                p = q = 0.0
+                for w in n.near:
+                    if (k := names.get(f"near={w}")) is not None:
+                        p, q = p + weights[k][0], q + weights[k][1]
+            got = known[id(n)] = u, v, p, q
+        return got
+
+    def emissions(self, own: list[Block]) -> list[tuple[float, float]]:
+        """Sums of the weights of each block's features, by label."""
+        weights, names, out = self._pairs(), self.names, []
+        known: dict[int, tuple[float, float, float, float]] = {}
+        for b, f in zip(own, _local(own), strict=True):
+            u, v, p, q = self._up(b.node, known)
+            u, v = u + p, v + q
+            for x in f:
+                if (k := names.get(x)) is not None:
+                    u, v = u + weights[k][0], v + weights[k][1]
+            out.append((u, v))
+        return out
 
     def decode(self, own: list[Block]) -> list[bool]:
         """The likeliest labels, by Viterbi."""
         if not own:
             return []
-        weights, names = self._pairs(), self.names
         (s00, s01), (s10, s11) = self.step.tolist()
         back, a, b = [], 0.0, 0.0
-        for i, f in enumerate(features(own)):
-            u = v = 0.0
-            for x in f:
-                if (k := names.get(x)) is not None:
-                    p, q = weights[k]
-                    u, v = u + p, v + q
+        for i, (u, v) in enumerate(self.emissions(own)):
             if i:
                 to0, to1 = b + s10 > a + s00, b + s11 > a + s01
                 back.append((to0, to1))
@@ -191,8 +259,10 @@ def fit(pages: list[tuple[list[Block], list[bool]]], epochs: int = EPOCHS, rate:
     """A field of the greatest (penalised) likelihood of the pages' labels."""
     names: dict[str, int] = {}
     rows = []
-    for own, labels in pages:
-        ids = [np.array([names.setdefault(x, len(names)) for x in f]) for f in features(own)]
+    made = [(features(own), labels) for own, labels in pages]
+    often = Counter(x for page, _ in made for f in page for x in f)
+    for page, labels in made:
+        ids = [np.array([names.setdefault(x, len(names)) for x in f if often[x] >= LEAST]) for f in page]
         if ids:
             rows.append((ids, np.array(labels, int)))
     state, step = np.zeros((len(names), 2)), np.zeros((2, 2))
@@ -232,12 +302,22 @@ def fit(pages: list[tuple[list[Block], list[bool]]], epochs: int = EPOCHS, rate:
 # -- labelled pages ----------------------------------------------------------------------------------------
 
 
-def labelled_pages(n: int = TRAIN_PAGES, seed: int = SEED) -> list[tuple[str, list[str]]]:
+#: Element pairs that hold an article, and class words of what is not part of it, by family; the families in HELD are left
+#: out of training where pages are made to measure how the field does on templates that it has not seen.
+CONTAINERS = {"article": [("<article>", "</article>")] * 3, "post": [("<main><article class='post'>", "</article></main>")], "main": [("<main>", "</main>")], "content": [('<div class="content">', "</div>")], "plain": [("<div>", "</div>")], "none": [("", "")], "id": [('<div id="main">', "</div>"), ('<div id="story">', "</div>")], "section": [('<section class="entry">', "</section>"), ("<section>", "</section>")]}
+NOTICES = {"advert": "ad|ads|advert|ad banner|sponsored|promo", "boxed": "ad|ads|advertisement|sponsored|promo|banner", "consent": "cookie-notice|cookie|gdpr consent|notice|cookie-banner|popup|modal", "aside": "sidebar|widget|related", "side": "sidebar|related|widget|recommended|side-bar|box|panel", "form": "search|newsletter|signup|login", "share": "share|social|tags|breadcrumb|pagination|newsletter|subscribe"}
+HELD = frozenset({"id", "section", "boxed", "share"})
+
+
+def labelled_pages(n: int = TRAIN_PAGES, seed: int = SEED, held: bool | None = None) -> list[tuple[str, list[str]]]:
     """Pages of varied templates with the texts of their content blocks, in page order.
 
     Templates differ in the container of the article (with and without telling names), in what surrounds it
     and what is put inside it. Content has headings, paragraphs, lists, quotes, code and tables, short and long.
+    held: only the families of HELD (true), only the others (false), or all.
     """
+    containers = [k for k in CONTAINERS if held is None or (k in HELD) == held]
+    notices = [k for k in NOTICES if held is None or (k in HELD) == held]
     rng = np.random.default_rng(seed)
     coin = lambda p: rng.random() < p
     pick = lambda x: x[int(rng.integers(len(x)))]
@@ -265,9 +345,10 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = SEED) -> list[tuple[str, li
 
         def text(tag: str, s: str) -> str:
             kept.append(" ".join(s.split()))
-            broken = tag == "p" and coin(0.15)
-            body = esc(s) if coin(0.7) else f"<b>{esc(s)}</b>"
-            return f"<p><b>{esc(s)}<br>" if broken else f"<{tag}>{body}" + ("" if tag in ("p", "li") and coin(0.1) else f"</{tag}>")
+            mark = pick(["b", "i", "em", "strong", "span", "u"]) if coin(0.4) else ""
+            body = f"<{mark}>{esc(s)}" + ("" if coin(0.3) else f"</{mark}>") if mark else esc(s)  # inline tags are left open at times
+            open_ended = tag in ("p", "li") and coin(0.2)
+            return f"<{tag}>{body}" + ("<br>" if coin(0.1) else "") + ("" if open_ended else f"</{tag}>")
 
         def links(k: int) -> str:
             return "".join(f'<li><a href="/{i}">{esc(words(1, 3))}</a></li>' for i in range(k))
@@ -284,15 +365,19 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = SEED) -> list[tuple[str, li
             return f"<{tag}>{words(1, 3)}</{tag}>" if coin(0.8) else f"<p>{words(1, 3)}</p>"
 
         def notice() -> str:
-            return pick([
-                lambda: f"<div class=\"{pick(['ad', 'ads', 'advert', 'ad banner', 'sponsored', 'promo'])}\">{esc(prose())}</div>",
-                lambda: f"<div class=\"{pick(['ad', 'ads', 'advertisement', 'sponsored', 'promo', 'banner'])}\"><p>{esc(prose())}</p></div>",
-                lambda: f"<div class=\"{pick(['cookie-notice', 'cookie', 'gdpr consent', 'notice', 'cookie-banner', 'popup', 'modal'])}\"><p>{esc(prose())}</p><button>{word()}</button></div>",
-                lambda: f"<aside{named('sidebar', 'widget', 'related')}>{heading() if coin(0.6) else ''}{pick([lambda: f'<ul>{links(few())}</ul>', lambda: esc(prose()), lambda: f'<p>{esc(prose())}</p>'])()}</aside>",
-                lambda: f"<div class=\"{pick(['sidebar', 'related', 'widget', 'recommended', 'side-bar'])}\">{heading() if coin(0.6) else ''}<p>{esc(prose())}</p>{f'<ul>{links(few())}</ul>' if coin(0.6) else ''}</div>",
-                lambda: f"<form{named('search', 'newsletter', 'signup', 'login')}><label>{words(1, 3)}</label><p>{esc(sentence())}</p><input name=q><button>{word()}</button></form>",
-                lambda: f"<div class=\"{pick(['share', 'social', 'tags', 'breadcrumb', 'pagination', 'newsletter', 'subscribe'])}\">{esc(words(1, 6))} <a href=#>{word()}</a></div>",
-            ])()
+            kind = pick(notices)
+            word_of = pick(NOTICES[kind].split("|")) if coin(0.9) else word()  # a name that tells nothing, at times
+            inner = lambda: f"<p>{esc(prose())}</p>"
+            side = lambda: (heading() if coin(0.6) else "") + pick([lambda: f"<ul>{links(few())}</ul>", lambda: esc(prose()), inner])()
+            return {
+                "advert": lambda: f'<div class="{word_of}">{esc(prose())}</div>',
+                "boxed": lambda: f'<div class="{word_of}">{inner()}</div>',
+                "consent": lambda: f'<div class="{word_of}">{inner()}<button>{word()}</button></div>',
+                "aside": lambda: f"<aside{named(word_of)}>{side()}</aside>",
+                "side": lambda: f"<div class=\"{word_of}\">{heading() if coin(0.6) else ''}{inner()}{f'<ul>{links(few())}</ul>' if coin(0.6) else ''}</div>",
+                "form": lambda: f"<form{named(word_of)}><label>{words(1, 3)}</label><p>{esc(sentence())}</p><input name=q><button>{word()}</button></form>",
+                "share": lambda: f'<div class="{word_of}">{esc(words(1, 6))} <a href=#>{word()}</a></div>',
+            }[kind]()
 
         def comments() -> str:
             inner = "".join(f"<{t}{named('comment', 'reply')}><p>{esc(prose())}</p></{t}>" for t in [pick(["div", "li", "article"])] * few())
@@ -327,7 +412,9 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = SEED) -> list[tuple[str, li
                 out.append(f"<footer>{esc(words(2, 6))}</footer>")
             return "".join(out)
 
-        head = f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{words(1, 8)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>'
+        code = lambda: "".join(pick(["if(a<b)", "x='</div>';", '"<p>"+y', ".c>.d{color:red}", f"#{word()}{{}}", "\n", "/* */"]) for _ in range(few()))
+        unseen = lambda: pick([lambda: f"<style>{code()}</style>", lambda: f"<script>{code()}</script>", lambda: f"<!-- {words(1, 5)} -->", lambda: f"<noscript>{words(2, 6)}</noscript>", lambda: "<link rel=icon href=/i>", lambda: ""])()
+        head = (pick(["<!doctype html>", ""]) + pick(["<html>", f'<html lang="{word()[:2]}">']) + f"<head>{unseen()}<title>{words(1, 8)}</title>{unseen()}{unseen()}" + pick(["</head><body>", "</head><body>", "<body>", "</head>"])) if coin(0.9) else ""
         top = [f"<nav{named('menu', 'navbar')}><ul>{links(few())}</ul></nav>"] if coin(0.8) else []
         if coin(0.4):
             top.insert(0, f"<header{named('header', 'masthead', 'top')}><p>{esc(words(1, 6))}</p><a href=/>{word()}</a></header>")
@@ -335,8 +422,8 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = SEED) -> list[tuple[str, li
             top.append(f'<div class="{pick(["menu", "nav", "header", "navigation", "topbar"])}"><ul>{links(few())}</ul></div>')
         top += [notice() for _ in range(int(rng.integers(0, 3)))]
         if coin(0.4):
-            top.append(f"<!-- ad {int(rng.integers(999))} -->")
-        a, b = pick([("<article>", "</article>"), ("<article>", "</article>"), ("<main><article class='post'>", "</article></main>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div id="main">', "</div>"), ('<section class="entry">', "</section>"), ("<div>", "</div>"), ("", "")])
+            top.append(unseen())
+        a, b = pick([x for k in containers for x in CONTAINERS[k]])
         body = a + article() + b
         tail = [comments()] if coin(0.3) else []
         tail += [notice() for _ in range(int(rng.integers(0, 2)))]
@@ -369,9 +456,11 @@ def main_text(page: str | None, crf: Field) -> str:
 
 
 def extract(pages: DataFrame, crf: Field | None = None, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """The columns `keep`, `text` string (empty if a page has none, or is null) and `n_chars` long (code points).
+    """The columns `keep`, `text` string (empty if a page has none, or is null or empty) and `n_chars` long (code points).
 
-    crf: a field from fit() (default: one trained on the generator's pages). No shuffle; the field's size is fixed.
+    crf: a field from fit() (default: one trained on the generator's pages). Every row gives one, repeated ones too; no pages give no
+    rows; other columns are not read, and `keep` must not name the results. No shuffle; the field's size is fixed, and a page
+    takes time and memory linear in its length.
     """
     small_batches(pages.sparkSession)
     narrow = pages.select(*keep, html)

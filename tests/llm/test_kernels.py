@@ -286,12 +286,24 @@ def test_crf_on_held_out_pages(crf):
     assert wrong / total < 0.01 and pages < 12
 
 
+def test_crf_on_templates_it_has_not_seen():
+    """Containers and notices of held-out families, by a field trained on the others: precision and recall of blocks."""
+    crf = dom_crf.fit([dom_crf.labelled(*p) for p in dom_crf.labelled_pages(held=False)])
+    hit = said = true = 0
+    for p in dom_crf.labelled_pages(300, seed=78, held=True):
+        own, labels = dom_crf.labelled(*p)
+        got = crf.decode(own)
+        hit, said, true = hit + sum(a and b for a, b in zip(got, labels, strict=True)), said + sum(got), true + sum(labels)
+    assert hit / said >= 0.95 and hit / true >= 0.95
+
+
 def test_viterbi_is_the_best_labelling(crf):
     import itertools
 
     for page, _ in dom_crf.labelled_pages(40, seed=3):
         own = dom_crf.blocks(page)[:9]
-        s = crf.scores(own)
+        s = np.array(crf.emissions(own))
+        assert np.allclose(s, [crf.state[[crf.names[x] for x in f if x in crf.names]].sum(0) for f in dom_crf.features(own)])
         value = lambda y, s=s: sum(s[i, l] for i, l in enumerate(y)) + sum(crf.step[a, b] for a, b in zip(y, y[1:], strict=False))  # noqa: E731, E741
         best = max(itertools.product((0, 1), repeat=len(own)), key=value)
         assert math.isclose(value(best), value(tuple(map(int, crf.decode(own)))), rel_tol=1e-9)
@@ -316,13 +328,15 @@ def test_blocks_without_end_tags():
     assert own("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.") == ["Let x=2 hold."]
 
 
-def test_hostile_pages_take_linear_time():
+def test_hostile_pages_take_linear_time(crf):
     import time
 
-    for page in ("<a " * 200_000, "<p class='" * 50_000, "<script>" * 50_000, "<!--" * 100_000, "<div>" * 20_000 + "x", "&amp" * 200_000):
+    many = ("<a " * 200_000, "<p class='" * 50_000, "<script>" * 50_000, "<!--" * 100_000, "<div>" * 20_000 + "x", "&amp" * 200_000)
+    deep = ("<div>x" * 40_000, "<div class='a b'>x</i></z>" * 40_000, "<p>x</div>" * 40_000, "<div>" * 40_000 + "</span></p></li>" * 40_000, "<head>" + " <meta> " * 40_000 + "x")
+    for page in (*many, *deep):
         began = time.process_time()
-        dom_crf.blocks(page)
-        assert time.process_time() - began < 20
+        dom_crf.main_text(page, crf)
+        assert time.process_time() - began < 6
 
 
 def test_main_text(crf):
