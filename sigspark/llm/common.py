@@ -41,9 +41,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; where that is unset, a folder of our own on a local master, and an error on any other."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = _shipped.get("root")
         if not root:
             root = _shipped["root"] = f"file://{tempfile.mkdtemp(prefix='shared')}"

@@ -484,7 +484,8 @@ def decode_many(media: list[bytes]) -> list[bytes]:
 def store(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep`, `n_bytes` long and `media` binary: a FLAC stream of each whole text's padded bytes.
 
-    A null text counts as empty. No shuffle; memory is bounded by a batch and a group of frames.
+    A null text counts as empty. Every row gives one, repeated ones too; an empty df gives no rows; other columns are not read, and
+    `keep` must not name the results. No shuffle; memory is bounded by a batch and a group of frames.
     """
     small_batches(df.sparkSession)
     narrow = df.select(*keep, text)
@@ -500,7 +501,8 @@ def store(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)
 def features(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep`, `payload_bytes`, `payload_sha256`, `tail_crc32`, `media_bytes`, `media_sha256` and `feature`, from the stored bytes.
 
-    feature: frames, sum, sum of squares, peak and zero crossings of the samples. Null media give nulls.
+    feature: frames, sum, sum of squares, peak and zero crossings of the samples. Null media give nulls; a
+    stream whose checksums fail raises. Repeated rows are kept, an empty df gives no rows; `keep` must not name the results.
     """
     small_batches(df.sparkSession)
     narrow = df.select(*keep, media)
@@ -527,7 +529,7 @@ def features(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_
 
 
 def pcm_blocks(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """A row for each frame: `keep`, `block` int, `first_sample` long, `n_samples` int, `byte_offset` long (in the stream) and `pcm` binary."""
+    """A row for each frame: `keep`, `block` int, `first_sample` long, `n_samples` int, `byte_offset` long (in the stream) and `pcm` binary. Null media give no rows."""
     small_batches(df.sparkSession)
     narrow = df.select(*keep, media).where(f"{media} is not null")
     schema = T.StructType([*narrow.select(*keep).schema.fields, *T._parse_datatype_string("block int, first_sample long, n_samples int, byte_offset long, pcm binary").fields])
