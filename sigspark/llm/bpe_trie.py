@@ -27,11 +27,13 @@ from sigspark.llm.common import map_batches, small_batches
 
 #: The split pattern of byte-level BPE vocabularies of this kind.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Marks that are a word of their own after letters, as the pattern has it.
+MARKS = frozenset(".,;:!?")
 #: White space before a space: there the pattern may join the space to what is before.
 SPACED = re.compile(r"\s ")
 #: Bytes of encoded pieces that a worker keeps, by an estimate of ENTRY bytes a piece beside its text and ids, in two halves: when the
 #: young half is full it becomes the old one, and what the old one had and was not used again is gone. Pairs and transitions kept.
-CACHE_BYTES, ENTRY, KEPT = 80_000_000, 200, 300_000
+CACHE_BYTES, ENTRY, KEPT = 70_000_000, 200, 150_000
 #: Characters of texts whose pieces are gathered at a time.
 BLOCK_CHARS = 1_000_000
 
@@ -199,6 +201,16 @@ class TrieBpe:
                     size += ENTRY + len(p) + len(code)
                 elif p.isalpha():
                     new[k][p] = None
+                elif p and p[-1] in MARKS and p[:-1].isalpha():
+                    w = p[:-1]
+                    parts.append((k, p, [(k, w), (0, p[-1])]))
+                    for i, w in parts[-1][2]:
+                        if w not in self.young[i] and w not in new[i]:
+                            if (code := old[i].get(w)) is not None:
+                                self.young[i][w] = code
+                                size += ENTRY + len(w) + len(code)
+                            else:
+                                new[i][w] = None
                 else:
                     ws = [(1, w[1:]) if w[0] == " " and w[1:] and not w[1].isspace() else (0, w) for w in findall(space + p)]
                     if len(ws) == 1:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows an Arrow batch holds at most; rows can be long texts, so far fewer than Spark's default of 10,000.
-BATCH_ROWS = 2000
+BATCH_ROWS = 500
 _shipped: dict[str, str] = {}
 
 
@@ -105,7 +105,7 @@ def small_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key, "10000") == "10000":
         spark.conf.set(key, str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 def text_or_empty(col: str) -> F.Column:

@@ -77,30 +77,42 @@ def _packed(bits: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.pad(out, [(0, 0)] * (out.ndim - 1) + [(0, width - out.shape[-1])])).view("<u8")
 
 
-def near_pairs(fps: np.ndarray, bucket: np.ndarray, radius: int = 3) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index arrays i < j of all pairs of a bucket within the radius. fps uint64; equal buckets stand together."""
+def near_pairs(fps: np.ndarray, bucket: np.ndarray, radius: int = 3, label: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index arrays i < j of all pairs of a bucket within the radius. fps uint64, one word or a row of words each; equal buckets stand together.
+
+    label: components that the caller joins by the pairs so far; buckets with a single one left are not looked at further.
+    """
     index = np.arange(len(fps))
+    fps = fps[:, None] if fps.ndim == 1 else fps
+    bits = 64 * fps.shape[1]
     counter_bits = max(1, radius.bit_length())
     full = ~np.uint64(0)
+    # counters begin so high that they overflow with the first bit beyond the radius
+    begin = [full if (1 << counter_bits) - 1 - radius >> k & 1 else np.uint64(0) for k in range(counter_bits)]
     d = 1
     while True:
         last = np.append(np.flatnonzero(bucket[1:] != bucket[:-1]), len(bucket) - 1) if len(bucket) else np.array([], int)
         sizes = np.diff(np.append(-1, last))
-        keep = np.repeat(sizes > d, sizes)  # buckets with lanes still to be paired at this distance
+        more = sizes > d  # buckets with lanes still to be paired at this distance
+        if label is not None and len(sizes):
+            first = last - sizes + 1
+            own = label[index]
+            more &= np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
+        keep = np.repeat(more, sizes)
         if not keep.any():
             return
         fps, bucket, index, n = fps[keep], bucket[keep], index[keep], int(keep.sum())
-        planes = _packed(np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T)
-        stop = min(2 * d, int(sizes.max()))
+        planes = _packed(np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1, bitorder="little").T)
+        stop = min(2 * d, int(sizes[more].max()))
         for d in range(d, max(stop, d + 1)):
             mask = _packed(bucket[: n - d] == bucket[d:])[: planes.shape[1]]
             act = np.flatnonzero(mask)
             over = ~mask[act]  # lanes that count no more
-            count = [np.zeros(len(act), np.uint64) for _ in range(counter_bits)]
+            count = [np.full(len(act), x) for x in begin]
             word, shift = divmod(d, 64)
             right, left = np.uint64(shift), np.uint64(64 - shift)
             width = planes.shape[1] - 1
-            for g in range(0, BITS, GROUP):
+            for g in range(0, bits, GROUP):
                 lo = np.minimum(act + word, width)
                 other = planes[g : g + GROUP, lo]
                 if shift:
@@ -119,36 +131,39 @@ def near_pairs(fps: np.ndarray, bucket: np.ndarray, radius: int = 3) -> Iterator
                 lanes = np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                 w, b = np.nonzero(lanes)
                 i = act[w] * 64 + b
-                i = i[np.bitwise_count(fps[i] ^ fps[i + d]) <= radius]
+                i = i[np.bitwise_count(fps[i] ^ fps[i + d]).sum(1) <= radius]
                 if len(i):
                     yield index[i], index[i + d]
         d += 1
 
 
-def forest(fps: np.ndarray, bucket: np.ndarray, radius: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Links (i, root) of a spanning forest of the pairs within the radius."""
+def forest(fps: np.ndarray, bucket: np.ndarray, *radii: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of a spanning forest of the pairs within the last radius; of pairs within an earlier one first."""
     label = np.arange(len(fps))
-    for i, j in near_pairs(fps, bucket, radius):
-        a, b = label[i], label[j]
-        if (apart := a != b).any():
-            up: dict[int, int] = {}
-
-            def find(x: int) -> int:
-                while (y := up.get(x, x)) != x:
-                    up[x] = up.get(y, y)
-                    x = y
-                return x
-
-            for x, y in set(zip(a[apart].tolist(), b[apart].tolist(), strict=True)):
-                x, y = find(x), find(y)
-                if x != y:
-                    up[max(x, y)] = min(x, y)
-            to = np.arange(len(label))
-            for x in up:
-                to[x] = find(x)
-            label = to[label]
-    i = np.flatnonzero(label != np.arange(len(label)))
-    return i, label[i]
+    left, right = [], []
+    for radius in radii or (3,):
+        for i, j in near_pairs(fps, bucket, radius, label):
+            a, b = label[i], label[j]
+            if (apart := a != b).any():
+                up: dict[int, int] = {}
+
+                def find(x: int) -> int:
+                    while (y := up.get(x, x)) != x:
+                        up[x] = up.get(y, y)
+                        x = y
+                    return x
+
+                for (x, y), (p, q) in {(x, y): (p, q) for x, y, p, q in zip(a[apart].tolist(), b[apart].tolist(), i[apart].tolist(), j[apart].tolist(), strict=True)}.items():
+                    x, y = find(x), find(y)
+                    if x != y:
+                        up[max(x, y)] = min(x, y)
+                        left.append(p)
+                        right.append(q)
+                to = np.arange(len(label))
+                for x in up:
+                    to[x] = find(x)
+                label[:] = to[label]
+    return np.array(left, np.int64), np.array(right, np.int64)
 
 
 def _blocks(bits: int, n: int) -> list[tuple[int, int]]:
@@ -177,20 +192,24 @@ def whole_buckets(batches: Iterator[pa.RecordBatch], cols: list[str]) -> Iterato
 def tiled(rows: DataFrame, key: str, node: str, bucket: int = BUCKET) -> DataFrame:
     """rows with the string `key` refined where it has more than `bucket` rows: they are dealt into tiles by node, and every two tiles meet under a key of their own."""
     half = bucket // 2
-    sizes = cut(rows.groupBy(key).count().where(F.col("count") > bucket)).select(key, F.ceil(F.col("count") / half).cast("int").alias("_tiles"))
+    counts = rows.groupBy(key).count().where(F.col("count") > bucket)
+    if not counts.take(1):
+        return rows
+    sizes = cut(counts).select(key, F.ceil(F.col("count") / half).cast("int").alias("_tiles"))
     tile = F.pmod(F.xxhash64(node), F.col("_tiles"))
     met = F.transform(F.sequence(F.lit(0), F.col("_tiles") - 1), lambda t: F.concat_ws(".", key, F.least(t, F.col("_tile")).cast("string"), F.greatest(t, F.col("_tile")).cast("string")))
     large = rows.join(sizes, key).withColumn("_tile", tile).withColumn(key, F.explode(met)).select(*rows.columns)
     return rows.join(sizes.select(key), key, "left_anti").select(*rows.columns).unionByName(large)
 
 
-def spread(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+def spread(left: DataFrame, right: DataFrame, key: str, rows: int | None = None) -> DataFrame:
     """left joined with right, which has a row a key and in `n` how many rows of left have it.
 
-    Keys with more than HOT rows, of which there are few, go to every task, so that none of their rows is shuffled.
+    Keys with more than HOT rows, of which there are few, go to every task, so that none of their rows is shuffled. rows: how
+    many left has at most, where that is known.
     """
     hot = right.where(F.col("n") > HOT).drop("n")
-    if not hot.take(1):
+    if rows is not None and rows <= HOT or not hot.take(1):
         return left.join(right.drop("n"), key)
     rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(F.col("n") <= HOT).drop("n"), key)
     return rest.unionByName(left.join(F.broadcast(hot), key))
@@ -246,11 +265,11 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     now = state(edges)
     while now[0]:
-        both = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n")))
-        large = cut(spread(both, least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        least = cut(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
-        met = spread(large, least, "a")
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = cut(spread(both, least, "a", 2 * now[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        met = spread(large, least, "a", 2 * now[0])
         edges = cut(met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct())
         before, now = now, state(edges)
         if before == now:
@@ -266,15 +285,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radi
     merged before anything is compared, so copies cost no comparisons. Null keys count in no
     minimum; rows whose component has no other key get null. An empty df gives an empty result.
 
-    With a `similarity`, a link also needs sets of shingles of at least that Jaccard similarity, and candidates
-    are texts that share an early shingle in place of a block of bits (see similar.py).
+    With a `similarity`, links need sets of shingles of that Jaccard similarity, found by wide fingerprints (see similar.py); `radius`
+    and `seed` then play no part, and `fingerprint` has 64 digits.
     """
     if similarity is not None:
         from sigspark.llm import similar
 
-        return similar.near_duplicates(df, key, text, similarity, shingle, keep, radius, bucket)
+        return similar.near_duplicates(df, key, text, similarity, shingle, keep, bucket)
     prints = cut(fingerprints(df, text, (key, *keep), shingle, seed))
-    nodes = cut(prints.groupBy("fp").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n")))
+    nodes = cut(prints.groupBy("fp").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n")))  # read by links and components
     roots = components(links(nodes, radius, bucket))
     table = named_components(nodes, roots.withColumnRenamed("node", "fp"), "fp")
     return spread(prints, table, "fp").select(key, *keep, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -283,5 +302,5 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radi
 def named_components(nodes: DataFrame, roots: DataFrame, node: str) -> DataFrame:
     """(node, component_id, n) of nodes (node, least key, n rows), whose roots are given where they are not themselves."""
     rooted = cut(nodes.join(roots, node, "left").select(node, "least", F.col("n").alias("rows"), F.coalesce("root", node).alias("root")))
-    named = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
     return cut(spread(rooted, named, "root").select(node, "component_id", F.col("rows").alias("n")))

@@ -1,13 +1,14 @@
-"""SimHash near-duplicates whose links are verified: shingle sets with a Jaccard similarity of a bound or more.
-
-Fingerprints of 64 bits put sets of a similarity of 0.8 about 10 bits apart (up to 12 for sets of a few shingles), too far
-for blocks of bits to find them among many. So the buckets are of another kind here: in any one order of
-all shingles, two sets that are similar enough share a shingle among the first of each (the prefix filter). The order
-puts shingles that a sample shows to be common last, so what is shared early is rare; the sample decides the cost
-and never the result. Equal sets are merged before anything is compared. Neighbours in random orders of a bucket
-are compared first, which joins large groups by few comparisons; then the bit-sliced comparison goes over all pairs of
-a bucket that are not yet in one component. Pairs within the radius are verified on their whole sets. The radius of 24
-bits loses a pair at the bound with a probability below 1e-4 (five standard deviations for most sizes).
+"""SimHash near-duplicates by similarity: fingerprints of 256 bits, buckets of MinHash bands, bit-sliced comparison.
+
+Sets of shingles with a Jaccard similarity of 0.8 differ in about 15 % of a SimHash's bits: too many for blocks of bits to
+bring them together among many documents, and with 64 bits too uncertain to tell them from a similarity of 0.65. So
+fingerprints are of four words here, and buckets are bands of MinHash values, which sets of that similarity share with
+a probability of 0.998. Within a bucket the comparison is operator 10's, bit-sliced with carry-save
+counters; it gives a spanning forest, the closest pairs first, never all pairs, and a bucket stops once it is connected. The
+forest's pairs are then verified on their whole sets. Equal sets are merged before anything is compared.
+
+Every link is exact. A pair of the bound's similarity can be missed where it shares no band, is beyond the radius, or lost its
+place in the forest to a pair that was refuted: the tests and README give the measured recall.
 """
 
 from __future__ import annotations
@@ -23,15 +24,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sigspark.llm.common import cut, map_batches, map_stream, small_batches, written
-from sigspark.llm.simhash import _LOWER, BUCKET, components, majority, named_components, near_pairs, spread, tiled, whole_buckets
+from sigspark.llm.simhash import _LOWER, BUCKET, components, forest, majority, named_components, spread, tiled, whole_buckets
 
-#: Least similarity, words a shingle, and bits in which candidates may differ.
-SIMILARITY, SHINGLE, RADIUS = 0.8, 5, 24
-#: Documents that common shingles are looked for in, and common shingles that are put last.
-SAMPLE_ROWS, COMMON = 20_000, 200_000
-#: Random orders in which neighbours are compared.
-ORDERS = 4
-_EPS = 1e-9
+#: Least similarity, and words a shingle.
+SIMILARITY, SHINGLE = 0.8, 5
+#: Words of a fingerprint; bands, and MinHash values that a band is made of.
+WORDS, BANDS, ROWS = 4, 12, 4
+#: Similarities up to which pairs are taken one after the other, beside the bound itself.
+CLOSER = (0.95, 0.9, 0.85)
+#: Hashes that are spread out at a time.
+PART = 4096
+#: Odd multipliers, one for each MinHash value, by a fixed rule.
+_ODD = (np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -47,79 +51,30 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a:b]) for a, b in zip(begins[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, n - shingle + 1).view(np.int64))
 
 
-def prefix(own: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
-    """The first of a set in the order of all shingles: (not common, by hash), then common ones from the rarest. common: hashes, sorted, and their ranks."""
-    n = len(own) - math.ceil(similarity * len(own) - _EPS) + 1 if len(own) else 0
-    hashes, ranks = common
-    rank = np.full(len(own), -1, np.int64)
-    if len(hashes):
-        at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
-        rank = np.where(hashes[at] == own, ranks[at], -1)
-    return own[np.lexsort((own, rank))[:n]]
-
-
-def _common(df: DataFrame, text: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that are in more than two distinct texts of a sample: hashes, sorted, and their ranks by count."""
-    n = df.count()
-    every = max(1, n // SAMPLE_ROWS)
-    some = df.where(F.pmod(F.xxhash64(text, F.lit(7)), F.lit(every)) == 0).select(text, F.xxhash64(text).alias("t")).dropDuplicates(["t"]).select(text)
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        found, count = np.unique(np.concatenate([np.zeros(0, np.int64), *(shingles(t, shingle) for t in b[text].to_pylist())]), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(found), pa.array(count.astype(np.int64))], ["h", "n"])
-
-    rows = map_batches(some, run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
-    h, n = rows["h"].to_numpy(), rows["n"].to_numpy()
-    order = np.argsort(h)
-    return h[order], n[order]
-
-
-def _enough(size_a: np.ndarray, at_a: np.ndarray, size_b: np.ndarray, at_b: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether sets can be similar enough if the shingles at these places are the first they share."""
-    return np.minimum(size_a - at_a, size_b - at_b) >= similarity / (1 + similarity) * (size_a + size_b) - _EPS
+def radius_of(similarity: float, words: int = WORDS) -> int:
+    """Bits in which fingerprints may differ: the expected number at that similarity, and two standard deviations of it."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(64 * words * p + 2 * math.sqrt(64 * words * p * (1 - p)))
 
 
-def _batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """A hash's bits stirred (the finaliser of a published 64-bit mixer)."""
+    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(31)
 
 
-def _neighbours(rows: DataFrame, similarity: float, radius: int) -> DataFrame:
-    """Pairs (a, b) of sets that stand side by side among those with a shingle, in ORDERS random orders of all sets."""
-    dealt = rows.withColumn("place", F.xxhash64("node", F.pmod("key", F.lit(ORDERS))))
-    cols = ["key", "node", "size", "at", "fp"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for b in batches:
-            own = [b[c].to_numpy() for c in cols]
-            if last is not None:
-                own = [np.concatenate(([x], c)) for x, c in zip(last, own, strict=True)]
-            if not len(own[0]):
-                continue
-            last = [c[-1] for c in own]
-            key, node, size, at, fp = own
-            near = np.bitwise_count((fp[1:] ^ fp[:-1]).view(np.uint64)) <= radius
-            i = np.flatnonzero(near & (key[1:] == key[:-1]) & (node[1:] != node[:-1]) & _enough(size[1:], at[1:], size[:-1], at[:-1], similarity))
-            if len(i):
-                yield _batch(node[i], node[i + 1])
-
-    return map_stream(dealt.repartitionByRange("key", "place").sortWithinPartitions("key", "place").select(*cols), run, "a long, b long").distinct()
-
-
-def _across(rows: DataFrame, similarity: float, radius: int, bucket: int) -> DataFrame:
-    """Pairs (a, b) of sets with different roots in a bucket, by bit-sliced comparison. rows: key, node, size, at, fp, root."""
-    named = tiled(rows.withColumn("key", F.col("key").cast("string")), "key", "node", bucket)
-    cols = ["h", "fp", "node", "size", "at", "root"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, fp, node, size, at, root in whole_buckets(batches, cols):
-            for i, j in near_pairs(fp.view(np.uint64), key, radius):
-                k = (root[i] != root[j]) & _enough(size[i], at[i], size[j], at[j], similarity)
-                if k.any():
-                    yield _batch(node[i[k]], node[j[k]])
-
-    hashed = named.withColumn("h", F.xxhash64("key")).select(*cols)
-    return map_stream(hashed.repartition("h").sortWithinPartitions("h"), run, "a long, b long").distinct()
+def sketch(own: np.ndarray) -> tuple[list[int], list[int]]:
+    """(words of the fingerprint, keys of the bands) of a set of hashes, as signed 64-bit numbers; an empty set has no bands."""
+    h = own.view(np.uint64)
+    words = [majority(h if k == 0 else _mixed(h + np.uint64(k))) for k in range(WORDS)]
+    if not len(h):
+        return words, []
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for i in range(0, len(h), PART):
+        least = np.minimum(least, (h[i : i + PART, None] * _ODD).min(0))
+    keys = [xxhash.xxh64_intdigest(least[ROWS * b : ROWS * (b + 1)].tobytes(), b) for b in range(BANDS)]
+    return words, np.array(keys, np.uint64).view(np.int64).tolist()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -131,58 +86,58 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
         for x, y in zip(b["x"], b["y"], strict=True):
             u, v = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
             same = len(np.intersect1d(u, v, assume_unique=True))
-            keep.append(same >= similarity * (len(u) + len(v) - same) - _EPS)
+            keep.append(same >= similarity * (len(u) + len(v) - same) - 1e-9)
         return b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return map_batches(both, run, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, keep: tuple[str, ...] = (), radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """Per row of df: key, the columns `keep`, `fingerprint` (16 hex digits, of the set of shingles) and `component_id`, the smallest key that is reached over pairs of a similarity of at least `similarity` within `radius` bits.
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, keep: tuple[str, ...] = (), bucket: int = BUCKET) -> DataFrame:
+    """Per row of df: key, the columns `keep`, `fingerprint` (64 hex digits, of the set of shingles) and `component_id`, the smallest key that is reached over links of at least that similarity.
 
     Words are those of simhash.fingerprint; texts without words, null ones among them, equal each other. Null
     keys count in no minimum; a component of such rows alone gets null. Repeated rows are kept. An empty df gives an
-    empty result. Names that start with an underscore and node, fp, size, early are this operator's own.
+    empty result. The names _text, node, bands and w0 to w3 are this operator's own.
     """
     small_batches(df.sparkSession)
     narrow = df.select(key, *keep, F.xxhash64(text).alias("_text"), text)
-    common = df.sparkSession.sparkContext.broadcast(_common(df.select(text), text, shingle))
-    schema = T.StructType([*narrow.select(key, *keep, "_text").schema.fields, *T._parse_datatype_string("node long, fp long, size long, early array<long>").fields])
+    words = [f"w{k}" for k in range(WORDS)]
+    fields = T._parse_datatype_string(f"node long, {', '.join(f'{w} long' for w in words)}, bands array<long>").fields
+    schema = T.StructType([*narrow.select(key, *keep, "_text").schema.fields, *fields])
 
     def prints(b: pa.RecordBatch) -> pa.RecordBatch:
         own = [shingles(t, shingle) for t in b[text].to_pylist()]
         node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in own], np.uint64).view(np.int64)
-        fp = np.array([majority(s.view(np.uint64)) for s in own], np.uint64).view(np.int64)
-        early = pa.array([prefix(s, common.value, similarity) for s in own], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([b[key], *(b[c] for c in keep), b["_text"], pa.array(node), pa.array(fp), pa.array([len(s) for s in own], pa.int64()), early], schema.names)
+        made = [sketch(s) for s in own]
+        cols = np.array([w for w, _ in made], np.uint64).reshape(-1, WORDS).view(np.int64)
+        return pa.RecordBatch.from_arrays([b[key], *(b[c] for c in keep), b["_text"], pa.array(node), *(pa.array(np.ascontiguousarray(cols[:, k])) for k in range(WORDS)), pa.array([x for _, x in made], pa.list_(pa.int64()))], schema.names)
 
     made = written(map_batches(narrow, prints, schema), "prints")
-    cols = ["key", "node", "size", "at", "fp"]
-    rows = made.select("node", "fp", "size", F.posexplode("early").alias("at", "key")).withColumn("at", F.col("at").cast("long")).select(*cols)
-    shared = cut(rows.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("key"))
-    rows = cut(rows.join(shared, "key", "left_semi").distinct())
-    hashed = T._parse_datatype_string("node long, hashes binary")
+    sets = made.select("node", *words, "bands").dropDuplicates(["node"])
+    rows = tiled(written(sets.select("node", *words, F.explode(F.transform("bands", lambda x: x.cast("string"))).alias("key")), "bands"), "key", "node", bucket)
+    radii = [radius_of(x) for x in (*(x for x in CLOSER if x > similarity), similarity)]
 
-    def sets(b: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, node, *fps in whole_buckets(batches, ["h", "node", *words]):
+            i, j = forest(np.stack(fps, 1).view(np.uint64), h, *radii)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[i], node[j])), pa.array(np.minimum(node[i], node[j]))], ["a", "b"])
+
+    hashed = rows.select(F.xxhash64("key").alias("h"), "node", *words)
+    pairs = cut(map_stream(hashed.repartition("h").sortWithinPartitions("h"), run, "a long, b long").distinct())
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    whole = T._parse_datatype_string("node long, hashes binary")
+
+    def sets_of(b: pa.RecordBatch) -> pa.RecordBatch:
         own = [shingles(t, shingle) for t in b[text].to_pylist()]
         node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in own], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(node), pa.array([s.tobytes() for s in own], pa.binary())], hashed.names)
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        # one text of each set: the least hash of those that have it
-        texts = made.join(ends, "node", "left_semi").groupBy("node").agg(F.min("_text").alias("_text")).select("_text")
-        return cut(map_batches(df.withColumn("_text", F.xxhash64(text)).join(texts, "_text", "left_semi").groupBy("_text").agg(F.first(text).alias(text)).select(text), sets, hashed))
-
-    pairs = cut(_neighbours(rows, similarity, radius))
-    edges = cut(_verified(pairs, sets_of(pairs), similarity))
-    roots = components(edges)
-    labelled = cut(rows.join(roots, "node", "left").select(*cols, F.coalesce("root", "node").alias("root")))
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    rest = cut(_across(cut(labelled.join(mixed, "key", "left_semi")), similarity, radius, bucket).join(pairs, ["a", "b"], "left_anti"))
-    if rest.take(1):
-        edges = edges.unionByName(cut(_verified(rest, sets_of(rest), similarity)))
-        roots = components(edges)
-    nodes = cut(made.groupBy("node").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n")))
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array([s.tobytes() for s in own], pa.binary())], whole.names)
+
+    # one text of each set: the least hash of those that have it
+    texts = made.join(ends, "node", "left_semi").groupBy("node").agg(F.min("_text").alias("_text")).select("_text")
+    one = df.select(F.xxhash64(text).alias("_text"), text).join(texts, "_text", "left_semi").groupBy("_text").agg(F.first(text).alias(text))
+    roots = components(_verified(pairs, written(map_batches(one.select(text), sets_of, whole), "sets"), similarity))
+    nodes = made.groupBy("node").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n"))
     table = named_components(nodes, roots, "node")
-    return spread(made, table, "node").select(key, *keep, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    digits = F.concat(*(F.lpad(F.lower(F.hex(w)), 16, "0") for w in words))
+    return spread(made.drop("bands", "_text"), table, "node").select(key, *keep, digits.alias("fingerprint"), "component_id")

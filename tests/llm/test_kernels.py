@@ -243,6 +243,10 @@ def test_bit_sliced_pairs(radius):
     d = np.bitwise_count(f[:, None] ^ f[None, :])
     assert len(got) == len(set(got))
     assert set(got) == {(i, j) for i in range(len(f)) for j in range(i + 1, len(f)) if bucket[i] == bucket[j] and d[i, j] <= radius}
+    wide = np.stack([f, f[::-1]], 1)
+    got = {p for i, j in simhash.near_pairs(wide, bucket, 40) for p in zip(i.tolist(), j.tolist(), strict=True)}
+    d = np.bitwise_count(wide[:, None] ^ wide[None, :]).sum(2)
+    assert got == {(i, j) for i in range(len(f)) for j in range(i + 1, len(f)) if bucket[i] == bucket[j] and d[i, j] <= 40}
     assert list(simhash.near_pairs(f[:0], bucket[:0])) == [] and list(simhash.near_pairs(f[:1], bucket[:1])) == []
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from sigspark.llm import similar
+from sigspark.llm import similar, simhash
 from sigspark.llm.common import table
 
 
@@ -56,14 +56,15 @@ def test_stage_keeps_one_of_every_similar_pair(spark):
     rows = docs.select("doc_id", "text").orderBy("doc_id").collect()
     root = slow_components(len(rows), slow_sets([r.text for r in rows]))
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, d).collect()}
-    assert kept == {r.doc_id for i, r in enumerate(rows) if root[i] == i}
-    assert 2 in kept and 56 not in kept  # similarity 0.967, five bits apart
+    alone = {r.doc_id for i, r in enumerate(rows) if root[i] == i}
+    gone = {r.doc_id for r in rows} - alone
+    assert kept >= alone and len(gone - kept) >= 0.98 * len(gone) > 0
+    assert 2 in kept and 56 not in kept  # similarity 0.967, five bits of 64 apart
 
 
-@pytest.mark.parametrize("common", [0, 200_000])
-def test_similar_groups(spark, monkeypatch, common):
-    """A group of near copies, pairs close to the bound, a line in most texts, short texts: whatever the order of shingles."""
-    monkeypatch.setattr(similar, "COMMON", common)
+@pytest.mark.parametrize("bucket", [4096, 8])
+def test_similar_groups(spark, bucket):
+    """A group of near copies, pairs close to the bound, a line in most texts, short texts: no link is wrong, few are missed, also in tiles."""
     rng = np.random.default_rng(5)
     line = " ".join(f"line{i}" for i in range(12))
     texts = []
@@ -75,8 +76,21 @@ def test_similar_groups(spark, monkeypatch, common):
     texts += ["a b", "A  b", "a b c", "a b c d e", "a b c d e f", None, "", " \n "]
     root = slow_components(len(texts), [*slow_sets(texts), *((len(texts) - 3, len(texts) - k) for k in (2, 1))])
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    got = {r.doc_id: r.component_id for r in similar.near_duplicates(df).collect()}
-    assert got == dict(enumerate(root)) and len(set(root)) < len(texts)
+    got = {r.doc_id: r.component_id for r in similar.near_duplicates(df, bucket=bucket).collect()}
+    assert all(root[i] == root[c] for i, c in got.items()) and all(got[i] == got[len(texts) - 3] for i in range(len(texts) - 3, len(texts)))
+    linked = [i for i in range(len(texts)) if root[i] != i]
+    assert sum(got[i] != i for i in linked) >= 0.95 * len(linked) > 20
+
+
+def test_pairs_in_buckets_stay_linear(spark):
+    """Three hundred near copies: a forest a band, not all pairs, and one component."""
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(w if (j + 7 * i) % 120 else f"x{i}" for j, w in enumerate(base)) for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.component_id for r in similar.near_duplicates(df).collect()} == {0}
+    words = np.array([similar.sketch(similar.shingles(t))[0] for t in texts], np.uint64)
+    i, j = simhash.forest(words, np.zeros(len(texts), np.int64), *map(similar.radius_of, (0.9, 0.8)))
+    assert len(i) == len(texts) - 1 and (np.bitwise_count(words[i] ^ words[j]).sum(1) <= similar.radius_of(0.8)).all()
 
 
 def test_documents_with_letters_stay_where_no_language_is_known(spark):
