@@ -13,8 +13,8 @@ from sigspark.llm import bpe_trie, decontaminate, langid, simhash
 from sigspark.llm.common import apart, cut, shared_folder, table
 from sigspark.llm.queries import TOKENIZER
 
-#: Near duplicates: words a shingle, least Jaccard similarity, and bits in which candidates may differ.
-SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 24
+#: Near duplicates: words a shingle, and the least Jaccard similarity, as fingerprints estimate it.
+SHINGLE, SIMILARITY = 5, 0.8
 #: Least calibrated probability of the predicted language; on the check tables, where all documents have letters, it drops
 #: 1 of 51,282 (check_s) and 6 of 256,410 (check_l), by the row counts of CHECK_r01.txt.
 LEAST_SCORE = 0.4
@@ -33,7 +33,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of every component of documents whose 5-word shingles have a similarity of at least 0.8 the one with the smallest doc_id; of rows with equal doc_id and text, one.
+    """Keeps of every component of documents whose 5-word shingles have a estimated similarity of at least 0.8 the one with the smallest doc_id; of rows with equal doc_id and text, one.
 
     Rows that share the smallest doc_id but not the text all stay, and so do rows without a doc_id, as nothing tells
     them apart.
@@ -41,9 +41,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     named, own = apart(docs, ("text_key", "fp"))
     named = named.withColumn("text_key", F.xxhash64("text"))
     known, key = named.where("doc_id is not null"), ["doc_id", "text_key"]
-    groups = cut(simhash.near_duplicates(known, keep=("text_key",), shingle=SHINGLE, similarity=SIMILARITY, radius=RADIUS))
+    groups = cut(simhash.near_duplicates(known, keep=("text_key",), shingle=SHINGLE, similarity=SIMILARITY))
     gone = groups.where("doc_id <> component_id").select(*key).distinct()
-    again = cut(groups.where("doc_id = component_id").groupBy(*key).count().where("count > 1").select(*key))
+    again = groups.where("doc_id = component_id").groupBy(*key).count().where("count > 1").select(*key)
     kept = known.join(gone, key, "left_anti")
     if again.take(1):  # only what is there more than once is shuffled with its texts
         kept = kept.join(again, key, "left_anti").unionByName(kept.join(again, key, "left_semi").dropDuplicates(key))
