@@ -6,6 +6,7 @@ questions about values reduce to half-open intervals of indices.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -43,6 +44,13 @@ class TraceSet:
     kind: str = "int"
     bucket: int | None = None
     pulses: frozenset[str] = frozenset()
+    #: changes, and a quicker way to those of some signals, where the source has one.
+    pick: tuple[DataFrame, Callable[[list[str]], DataFrame]] | None = None
+
+    def of(self, *names: str) -> DataFrame:
+        """The changes of some signals."""
+        own = self.pick[1](list(names)) if self.pick and self.pick[0] is self.changes else self.changes
+        return own.where(F.col("name").isin(*names))
 
     def value(self, name: str) -> str:
         return VALUE[self.kinds.get(name, self.kind)]

@@ -51,7 +51,7 @@ def whenever(s: TraceSet, cond: Expr, **body: Expr) -> DataFrame:
 def sample_at(s: TraceSet, name: str, index: int) -> DataFrame:
     """(trace_id, value) held at an index in every trace whose axis has it; the scan reads one signal up to the index."""
     v = s.value(name)
-    last = s.changes.where((F.col("name") == name) & (F.col("idx") <= index)).groupBy("trace_id").agg(F.max_by(v, F.struct("idx", "seq")).alias("value"))
+    last = s.of(name).where(F.col("idx") <= index).groupBy("trace_id").agg(F.max_by(v, F.struct("idx", "seq")).alias("value"))
     unknown = {"ival": F.lit(0), "rval": F.lit(0.0), "bits": F.lit("x")}[v]
     return s.traces.where(F.col("max_index") >= index).select("trace_id").join(last, "trace_id", "left").select("trace_id", F.coalesce("value", unknown).alias("value"))
 
@@ -59,7 +59,7 @@ def sample_at(s: TraceSet, name: str, index: int) -> DataFrame:
 def samples(s: TraceSet, name: str, at: DataFrame) -> DataFrame:
     """at (trace_id, idx, ...) with the value held there: an as-of join for many points."""
     v = s.value(name)
-    own = s.changes.where(F.col("name") == name).groupBy("trace_id", "idx").agg(F.max_by(v, "seq").alias("value"))
+    own = s.of(name).groupBy("trace_id", "idx").agg(F.max_by(v, "seq").alias("value"))
     return as_of(at, own, ["trace_id"], "idx", ["value"])
 
 

@@ -45,7 +45,7 @@ class Trace:
         """The value held at an index; 0 while unknown."""
         if name not in self.points:
             v = self.data.value(name)
-            own = self.data.changes.where(F.col("name") == name).groupBy("idx").agg(F.max_by(v, "seq").alias("v"))
+            own = self.data.of(name).groupBy("idx").agg(F.max_by(v, "seq").alias("v"))
             rows = own.limit(POINT_ROWS + 1).collect()
             self.points[name] = None if len(rows) > POINT_ROWS else tuple(zip(*sorted((r.idx, r.v) for r in rows), strict=True)) or ((), ())
             if len(self.points) > POINT_SIGNALS:

@@ -205,7 +205,7 @@ def frame(s: TraceSet, *exprs: Expr) -> tuple[DataFrame, At]:
     if read:
         plain = lambda n: n.removeprefix(KNOWN)
         names = sorted({plain(n) for n, _ in read})
-        changes = s.changes.where(F.col("name").isin(names)).select("trace_id", "name", "idx", "seq", *sorted({s.value(n) for n in names} | ({"ival_strict"} if any(n != plain(n) for n, _ in read) else set())))
+        changes = s.of(*names).select("trace_id", "name", "idx", "seq", *sorted({s.value(n) for n in names} | ({"ival_strict"} if any(n != plain(n) for n, _ in read) else set())))
         if pulses := s.pulses & set(names):  # an event is 1 at its index only
             ends = changes.where(F.col("name").isin(sorted(pulses))).withColumn("idx", F.col("idx") + 1).withColumn("seq", F.lit(-1).cast("long")).withColumn("ival", zero)
             changes = changes.unionByName(ends)

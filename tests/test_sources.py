@@ -120,6 +120,20 @@ def test_no_signals_and_no_header(spark, tmp_path):
         vcd.read_vcd(spark, str(path))
 
 
+def test_awkward_dumps(spark, tmp_path):
+    """CRLF, tabs, comments in header and body, values without a space, parts that begin in the middle of a time, lines of # in the header."""
+    head = "$comment\n#7 not a time\n1a\n$end\n$scope module top $end\n$var wire 1 a a $end\n$var wire 4 b b $end\n$var real 64 r r $end\n$upscope $end\n$enddefinitions $end\n"
+    (tmp_path / "d.vcd").mkdir()
+    (tmp_path / "d.vcd" / "part-0").write_text((head + "$dumpvars\n1a\n$end\n#5\n$comment 0a\n0a $end\nb10b\nr-2.5e1 r\n").replace("\n", "\r\n"))
+    (tmp_path / "d.vcd" / "part-1").write_text("0a\n#9\nbxz1\tb\n")
+    (tmp_path / "d.vcd" / "part-2").write_text("#12\n1a\n1unknown\n\n")
+    s = vcd.read_vcd(spark, str(tmp_path / "d.vcd"))
+    assert [(r.idx, r.ts) for r in s.timestamps.orderBy("idx").collect()] == [(0, 5), (1, 9), (2, 12)]
+    got = [(r.name, r.idx, r.bits, r.ival, r.ival_strict, r.rval) for r in s.changes.orderBy("name", "idx", "seq").collect()]
+    assert got == [("top.a", 0, "1", 1, 1, 1.0), ("top.a", 0, "0", 0, 0, 0.0), ("top.a", 2, "1", 1, 1, 1.0), ("top.b", 0, "10", 2, 2, 2.0), ("top.b", 1, "xz1", 1, None, 1.0), ("top.r", 0, None, 0, None, -25.0)]
+    assert [r.idx for r in search.find(s, sig("top.a") == 1).collect()] == [2]
+
+
 def test_timescale():
     assert [vcd.timescale(x) for x in ("10 ns", "1ps", "100 us", "1 s", "")] == [-8, -12, -4, 0, 0]
 
