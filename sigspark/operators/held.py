@@ -28,17 +28,50 @@ def hold(df: DataFrame, keys: list[str], idx: str, cols: list[str], bucket: int
     return out.select(*[(F.coalesce(f"_{c}", f"_in_{c}").alias(c) if c in cols else F.col(c)) for c in df.columns if c != "_b"], *([F.coalesce("_next", "_after").alias(lead)] if lead else []))
 
 
-def suppress_repeats(df: DataFrame, keys: list[str], idx: str, value: str) -> DataFrame:
-    """Only the rows whose value differs from the one before."""
-    w = Window.partitionBy(*keys).orderBy(idx)
-    return df.withColumn("_was", F.lag(value).over(w)).withColumn("_n", F.row_number().over(w)).where(~F.col("_was").eqNullSafe(F.col(value)) | (F.col("_n") == 1)).drop("_was", "_n")
+#: Indices that an interval is expanded into at a time.
+CHUNK = 1 << 16
+
+
+def expand(df: DataFrame, idx: str = "idx", end: str = "end_idx") -> DataFrame:
+    """A row for each index of the rows' intervals, in place of idx and end; an interval is cut into chunks first, so no array is longer than CHUNK."""
+    rest = [c for c in df.columns if c not in (idx, end)]
+    cut = df.where(F.col(idx) < F.col(end)).select(*rest, F.explode(F.sequence(F.col(idx), F.col(end) - 1, F.lit(CHUNK).cast("long"))).alias("_from"), F.col(end).alias("_to"))
+    return cut.select(*rest, F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + CHUNK, F.col("_to")) - 1)).alias(idx))
+
+
+def _bucketed(df: DataFrame, idx: str, bucket: int | None) -> tuple[DataFrame, list[str]]:
+    """df with its bucket of indices in _b, and the columns that name a bucket beside the keys."""
+    return (df.withColumn("_b", F.floor(F.col(idx) / bucket)), ["_b"]) if bucket else (df, [])
+
+
+def running_total(df: DataFrame, keys: list[str], idx: str, amount: str, name: str, bucket: int | None = None) -> DataFrame:
+    """df with `name`, the sum of `amount` over the rows before, along idx. With a bucket, a row for each bucket carries the sums on."""
+    rows, own = _bucketed(df, idx, bucket)
+    w = Window.partitionBy(*keys, *own).orderBy(idx).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn(name, F.coalesce(F.sum(amount).over(w), F.lit(0)))
+    if not own:
+        return rows
+    over = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*keys, "_b").agg(F.sum(amount).alias("_s")).select(*keys, "_b", F.coalesce(F.sum("_s").over(over), F.lit(0)).alias("_s"))
+    return rows.join(sums, [*keys, "_b"]).withColumn(name, F.col(name) + F.col("_s")).select(*df.columns, name)
+
+
+def suppress_repeats(df: DataFrame, keys: list[str], idx: str, value: str, bucket: int | None = None) -> DataFrame:
+    """Only the rows whose value differs from the one before. With a bucket, a row for each bucket carries the value on."""
+    rows, own = _bucketed(df.withColumn("_v", F.struct(F.col(value).alias("v"))), idx, bucket)
+    w = Window.partitionBy(*keys, *own).orderBy(idx)
+    rows = rows.withColumn("_was", F.lag("_v").over(w))
+    if own:
+        over = Window.partitionBy(*keys).orderBy("_b")
+        ends = rows.groupBy(*keys, "_b").agg(F.max_by("_v", idx).alias("_last")).select(*keys, "_b", F.lag("_last").over(over).alias("_in"))
+        rows = rows.join(ends, [*keys, "_b"]).withColumn("_was", F.coalesce("_was", "_in"))
+    return rows.where(F.col("_was").isNull() | ~F.col("_was.v").eqNullSafe(F.col(value))).select(*df.columns)
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], idx: str, values: list[str], bucket: int | None = None) -> DataFrame:
     """left with the last values of right at or before idx: one union, one fill, no range join."""
-    both = left.withColumn("_side", F.lit(1)).unionByName(right.select(*keys, idx, *values).withColumn("_side", F.lit(0)), True)
-    both = both.withColumn("_at", F.struct(F.col(idx), F.col("_side")))
-    w = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    packed = F.when(F.col("_side") == 0, F.struct(*values))
-    out = both.withColumn("_v", F.last(packed, True).over(w)).where("_side = 1")
-    return out.select(*[F.col(f"_v.{c}").alias(c) if c in values else F.col(c) for c in [*left.columns, *[v for v in values if v not in left.columns]]])
+    packed = F.struct(*values)
+    both = left.withColumn("_side", F.lit(1)).unionByName(right.select(*keys, idx, packed.alias("_v")).withColumn("_side", F.lit(0)), True)
+    # the right's rows of an index come before the left's
+    filled = hold(both.withColumn("_at", 2 * F.col(idx) + F.col("_side")), keys, "_at", ["_v"], 2 * bucket if bucket else None)
+    return filled.where("_side = 1").select(*[F.col(f"_v.{c}").alias(c) if c in values else F.col(c) for c in [*left.columns, *[v for v in values if v not in left.columns]]])

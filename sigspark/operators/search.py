@@ -4,22 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sigspark.model import TraceSet
-from sigspark.operators.held import as_of, hold
+from sigspark.operators.held import CHUNK, as_of, expand, hold
 from sigspark.timeexpr import Expr, evaluated, sig
 
 
+def matches(s: TraceSet, cond: Expr) -> DataFrame:
+    """(trace_id, idx, end_idx) of the intervals over which the condition is true."""
+    return evaluated(s, c=cond.true()).where("c").drop("c")
+
+
 def find_by_trace(s: TraceSet, cond: Expr) -> DataFrame:
     """(trace_id, idx) of every index at which the condition is true: only matching intervals are expanded."""
-    hit = evaluated(s, c=cond.true()).where("c")
-    return hit.select("trace_id", F.explode(F.sequence("idx", F.col("end_idx") - 1)).alias("idx"))
+    return expand(matches(s, cond))
 
 
 def find(s: TraceSet, cond: Expr, limit: int | None = None, from_index: int = 0) -> DataFrame:
-    """Distinct indices over all traces, ascending, from an index on; at most `limit`."""
-    out = find_by_trace(s, cond).where(F.col("idx") >= from_index).select("idx").distinct().orderBy("idx")
+    """Distinct indices over all traces, ascending, from an index on; at most `limit`.
+
+    With a limit of n, only the n intervals with the smallest distinct starts are expanded, by n indices at most: what any other
+    holds comes after n indices.
+    """
+    hit = matches(s, cond).where(F.col("end_idx") > from_index).select(F.greatest("idx", F.lit(from_index).cast("long")).alias("idx"), "end_idx")
+    if limit is not None:
+        hit = hit.groupBy("idx").agg(F.max("end_idx").alias("end_idx")).orderBy("idx").limit(limit).withColumn("end_idx", F.least(F.col("end_idx"), F.col("idx") + limit))
+    out = expand(hit).distinct().orderBy("idx")
     return out if limit is None else out.limit(limit)
 
 
@@ -44,8 +54,8 @@ def count_by_trace(s: TraceSet, *conds: Expr) -> DataFrame:
 
 def whenever(s: TraceSet, cond: Expr, **body: Expr) -> DataFrame:
     """(trace_id, idx, the body's values) at every index at which the condition is true."""
-    df = evaluated(s, c=cond.true(), **body).where("c")
-    return df.select("trace_id", F.explode(F.sequence("idx", F.col("end_idx") - 1)).alias("idx"), *body)
+    df = evaluated(s, c=cond.true(), **body).where("c").drop("c")
+    return expand(df).select("trace_id", "idx", *body)
 
 
 def sample_at(s: TraceSet, name: str, index: int) -> DataFrame:
@@ -57,16 +67,17 @@ def sample_at(s: TraceSet, name: str, index: int) -> DataFrame:
 
 
 def samples(s: TraceSet, name: str, at: DataFrame) -> DataFrame:
-    """at (trace_id, idx, ...) with the value held there: an as-of join for many points."""
+    """at (trace_id, idx, ...) with the value held there (0, or x for text, while it is unknown): an as-of join for many points."""
     v = s.value(name)
     own = s.of(name).groupBy("trace_id", "idx").agg(F.max_by(v, "seq").alias("value"))
-    return as_of(at, own, ["trace_id"], "idx", ["value"])
+    unknown = {"ival": F.lit(0).cast("long"), "rval": F.lit(0.0), "bits": F.lit("x")}[v]
+    return as_of(at, own, ["trace_id"], "idx", ["value"], s.bucket).withColumn("value", F.coalesce("value", unknown))
 
 
 def held_dense(s: TraceSet, *names: str) -> DataFrame:
     """A row for each trace and index with every signal's held value (unknown is 0)."""
     df = evaluated(s, **{f"x{i}": sig(n) for i, n in enumerate(names)})
-    return df.select("trace_id", F.explode(F.sequence("idx", F.col("end_idx") - 1)).alias("idx"), *[F.col(f"x{i}").alias(n) for i, n in enumerate(names)])
+    return expand(df).select("trace_id", "idx", *[F.col(f"x{i}").alias(n) for i, n in enumerate(names)])
 
 
 def fold_signal(s: TraceSet, name: str, kind: str = "sum", stop: Expr | None = None, start: int = 0) -> DataFrame:
@@ -74,8 +85,8 @@ def fold_signal(s: TraceSet, name: str, kind: str = "sum", stop: Expr | None = N
     e = {"x": sig(name)} | ({"stop": stop.true()} if stop is not None else {})
     df = evaluated(s, **e).where(F.col("end_idx") > start).withColumn("idx", F.greatest("idx", F.lit(start)))
     if stop is not None:
-        first = F.min(F.when(F.col("stop"), F.col("idx"))).over(Window.partitionBy("trace_id"))
-        df = df.withColumn("first", first).where("first is null or idx < first")
+        first = df.where("stop").groupBy("trace_id").agg(F.min("idx").alias("first"))
+        df = df.join(first, "trace_id", "left").where("first is null or idx < first")
     long = F.col("end_idx") - F.col("idx")
     agg = {"sum": F.sum(F.col("x") * long), "max": F.max("x"), "min": F.min("x"), "last": F.max_by("x", "idx"), "count": F.sum(long)}[kind]
     return df.groupBy("trace_id").agg(agg.alias("value"))
@@ -84,12 +95,14 @@ def fold_signal(s: TraceSet, name: str, kind: str = "sum", stop: Expr | None = N
 def fold_ordered(s: TraceSet, name: str, zero, merge, start: int = 0) -> DataFrame:
     """(trace_id, value): an ordered fold by any Column function merge(acc, x), over a trace's indices from start.
 
-    An ordered fold needs a trace's values in one place: intervals, not indices, are gathered, each with its length.
+    An ordered fold needs a trace's values in one place: its intervals are gathered, cut to CHUNK indices, and merge is
+    applied as often as an interval is long.
     """
-    df = evaluated(s, x=sig(name)).where(F.col("end_idx") > start).withColumn("idx", F.greatest("idx", F.lit(start)))
-    rows = df.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("idx", (F.col("end_idx") - F.col("idx")).alias("n"), "x"))).alias("r"))
-    every = F.flatten(F.transform("r", lambda r: F.transform(F.sequence(F.lit(1).cast("long"), r["n"]), lambda _: r["x"])))
-    return rows.select("trace_id", F.aggregate(every, zero, merge).alias("value"))
+    df = evaluated(s, x=sig(name)).where(F.col("end_idx") > start).withColumn("idx", F.greatest("idx", F.lit(start).cast("long")))
+    cut = df.withColumn("idx", F.explode(F.sequence("idx", F.col("end_idx") - 1, F.lit(CHUNK).cast("long"))))
+    rows = cut.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("idx", F.least(F.lit(CHUNK).cast("long"), F.col("end_idx") - F.col("idx")).alias("n"), "x"))).alias("r"))
+    each = lambda acc, r: F.aggregate(F.sequence(F.lit(1).cast("long"), r["n"]), acc, lambda a, _: merge(a, r["x"]))
+    return rows.select("trace_id", F.aggregate("r", zero, each).alias("value"))
 
 
 def align(s: TraceSet, left: str, right: str, name: str) -> DataFrame:

@@ -102,10 +102,10 @@ def sample_at(spark, d):
     return search.sample_at(ev(spark, d), "view", 3)
 
 
-@query(EV + "SELECT trace_id, idx, purchase AS value FROM d WHERE idx % 7 = 0 AND idx >= (SELECT min(idx) FROM ev e WHERE e.trace_id = d.trace_id AND event_type = 'purchase')")
+@query(EV + "SELECT trace_id, idx, purchase AS value FROM d WHERE idx % 7 = 0")
 def asof_get(spark, d):
     s = ev(spark, d)
-    return search.samples(s, "purchase", s.timestamps.where("idx % 7 = 0").select("trace_id", "idx")).where("value is not null")
+    return search.samples(s, "purchase", s.timestamps.where("idx % 7 = 0").select("trace_id", "idx"))
 
 
 @query(EV + "SELECT trace_id, idx, click, view FROM d")
@@ -680,7 +680,7 @@ def vcd_roundtrip(spark, d):
     from sigspark.storage import shared_folder
 
     s = evg(spark, d)
-    path = f"{shared_folder(spark, 'dump')}.vcd"
+    path = f"{shared_folder(spark, 'dump')}/all.vcd"
     values = s.changes.select("idx", "name", F.bin("ival").alias("bits"))
     write_vcd(vcd_lines(values, s.timestamps.select("idx", "ts"), [(e, 64, "integer") for e in EVENTS]), path)
     return read_vcd(spark, path).changes.select("name", "idx", F.col("ival").alias("value"))

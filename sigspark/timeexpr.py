@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigspark.model import TraceSet
-from sigspark.operators.held import hold
+from sigspark.operators.held import expand, hold
 
 Ref = tuple[str, int]
 
@@ -235,7 +235,7 @@ def frame(s: TraceSet, *exprs: Expr) -> tuple[DataFrame, At]:
 
 def dense(s: TraceSet, df: DataFrame, timed: bool) -> DataFrame:
     """A row for each index of the intervals, with its time if asked for."""
-    out = df.withColumn("idx", F.explode(F.sequence("idx", F.col("end_idx") - 1))).withColumn("end_idx", F.col("idx") + 1)
+    out = expand(df).withColumn("end_idx", F.col("idx") + 1)
     return out.join(s.timestamps, ["trace_id", "idx"]) if timed else out
 
 
