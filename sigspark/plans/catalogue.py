@@ -79,16 +79,6 @@ def timestamps(spark, d):
     return ev(spark, d).timestamps
 
 
-@query("SELECT DISTINCT event_type AS name, 64 AS width FROM events")
-def signal_width(spark, d):
-    return ev(spark, d).signals.select("name", "width").distinct()
-
-
-@query("SELECT count(*) > 0 AS is_signal FROM events WHERE event_type = 'click'")
-def is_signal(spark, d):
-    return ev(spark, d).changes.where("name = 'click'").agg((F.count(F.lit(1)) > 0).alias("is_signal"))
-
-
 # -- values ------------------------------------------------------------------------------------------------
 
 
@@ -263,11 +253,6 @@ def reval_predicate(spark, d):
 # -- bodies at matches -------------------------------------------------------------------------------------
 
 
-@query(EV + "SELECT 3 * count(*) FILTER (WHERE click > 40) AS v FROM d")
-def whenever_count(spark, d):
-    return search.count(ev(spark, d), click > 40).select((3 * F.col("n0")).alias("v"))
-
-
 @query(EV + "SELECT trace_id, idx, click AS a, view + error AS b FROM d WHERE purchase > 90")
 def whenever_collect(spark, d):
     return search.whenever(ev(spark, d), purchase > 90, a=click, b=view + error)
@@ -315,23 +300,11 @@ def fold_signal_stop(spark, d):
 # -- cursor and frames -------------------------------------------------------------------------------------
 
 
-@query(EV + "SELECT trace_id, idx, click FROM d WHERE idx BETWEEN 10 AND 19")
-def timeframe_range(spark, d):
-    return evaluated(ev(spark, d), click=click, i=INDEX).where("idx between 10 and 19").select("trace_id", "idx", "click")
-
-
 @query(EV + "SELECT count(*) FILTER (WHERE click > 40) AS n0 FROM d WHERE idx BETWEEN 10 AND 29")
 def trim_trace(spark, d):
     return search.count(trimmed(ev(spark, d), 10, 29), click > 40)
 
 
-@query("SELECT CAST(user_id AS VARCHAR) AS trace_id, CASE WHEN count(*) - 1 >= 60 THEN 60 ELSE 0 END AS after_60, 0 AS after_minus_5 FROM events GROUP BY 1")
-def step_clamp(spark, d):
-    # forward past the end does not move; backward stops at 0
-    t = ev(spark, d).traces
-    return t.select("trace_id", F.when(F.col("max_index") >= 60, 60).otherwise(0).alias("after_60"), F.greatest(F.lit(-5), F.lit(0)).alias("after_minus_5"))
-
-
 @query(EV + "SELECT a.idx, a.click AS left_value, coalesce(b.click, last_value(b.click IGNORE NULLS) OVER (ORDER BY a.idx)) AS right_value FROM (SELECT idx, click FROM d WHERE trace_id = (SELECT trace_id FROM (SELECT trace_id, max(idx) AS m FROM ev GROUP BY 1) ORDER BY m DESC, trace_id LIMIT 1)) a LEFT JOIN (SELECT idx, click FROM d WHERE trace_id = (SELECT trace_id FROM (SELECT trace_id, max(idx) AS m FROM ev GROUP BY 1) ORDER BY m, trace_id LIMIT 1)) b ON a.idx = b.idx")
 def multi_trace_align(spark, d):
     s = ev(spark, d)
@@ -350,21 +323,11 @@ def names(spark, d):
     return j.select(F.concat_ws(".", "r_name", "n_name", "c_name").alias("name"), "c_acctbal", "r_name", "n_name")
 
 
-@query(NAMES + "SELECT name FROM names WHERE starts_with(name, 'ASIA.')")
-def in_scope_signals(spark, d):
-    return names(spark, d).where(F.col("name").startswith("ASIA.")).select("name")
-
-
 @query(NAMES + "SELECT DISTINCT split_part(substr(name, 6), '.', 1) || '.' AS child FROM names WHERE starts_with(name, 'ASIA.')")
 def local_scopes(spark, d):
     return scopes.local_scopes(names(spark, d), "ASIA.")
 
 
-@query(NAMES + "SELECT r_name || '.' || n_name || '.' AS scope, count(*) AS n, count(*) FILTER (WHERE c_acctbal > 0) AS positive FROM names GROUP BY 1")
-def all_scopes_count(spark, d):
-    return names(spark, d).groupBy(F.concat("r_name", F.lit("."), "n_name", F.lit(".")).alias("scope")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("c_acctbal") > 0).alias("positive"))
-
-
 @query("WITH t AS (SELECT DISTINCT p_name AS name FROM part), c AS (SELECT left(name, length(name) - 6) AS prefix, 0 AS i FROM t WHERE ends_with(name, 'widget') UNION ALL SELECT left(name, length(name) - 4), 1 FROM t WHERE ends_with(name, 'bolt')) SELECT prefix FROM c GROUP BY prefix HAVING count(DISTINCT i) = 2")
 def groups(spark, d):
     return scopes.groups(table(spark, d, "part").select(F.col("p_name").alias("name")).distinct(), ["widget", "bolt"])
@@ -377,17 +340,6 @@ def in_groups_count(spark, d):
     return n.select(F.explode(F.array(*[F.struct(F.lit(p).alias("grp"), F.col(f"n{i}").alias("n")) for i, p in enumerate(body)])).alias("r")).select("r.*")
 
 
-@query(NAMES + "SELECT name FROM names WHERE ends_with(name, '.Customer#000000001')")
-def resolve_suffix(spark, d):
-    return names(spark, d).where(F.col("name").endswith(".Customer#000000001")).select("name")
-
-
-@query(EV + "SELECT count(*) FILTER (WHERE click > 40) AS n0 FROM d")
-def alias(spark, d):
-    known = {"pressed": "click"}
-    return search.count(ev(spark, d), real(known["pressed"]) > 40)
-
-
 # -- bus ---------------------------------------------------------------------------------------------------
 
 valid, ready = click > 40, view > 20
@@ -422,12 +374,6 @@ def latency(spark, d):
 # -- aggregates, truth, membership -------------------------------------------------------------------------
 
 
-@query("SELECT o_custkey, round(sum(o_totalprice), 2) AS total, CAST(floor(avg(o_totalprice)) AS BIGINT) AS mean, min(o_totalprice) AS least, max(o_totalprice) AS largest FROM orders GROUP BY o_custkey")
-def sum_avg_min_max(spark, d):
-    p = "o_totalprice"
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.round(F.sum(p), 2).alias("total"), F.floor(F.avg(p)).alias("mean"), F.min(p).alias("least"), F.max(p).alias("largest"))
-
-
 @query("SELECT doc_id, strlen(text) AS n FROM documents")
 def length_bytes(spark, d):
     return table(spark, d, "documents").select("doc_id", S.byte_length(F.col("text")).cast("long").alias("n"))
@@ -453,12 +399,6 @@ def in_string(spark, d):
 # -- scalar functions --------------------------------------------------------------------------------------
 
 
-@query("SELECT p_partkey, p_size + 3 + p_partkey AS added, p_partkey - p_size AS subtracted, p_size * 2 * 3 AS multiplied, p_size / 4 AS divided, CAST(floor(p_retailprice) AS BIGINT) AS floored, CAST(ceil(p_retailprice) AS BIGINT) AS ceiled, abs(p_size - 25) AS absolute FROM part")
-def math_all(spark, d):
-    p, s, r = F.col("p_partkey"), F.col("p_size"), F.col("p_retailprice")
-    return table(spark, d, "part").select(p, (s + 3 + p).alias("added"), (p - s).alias("subtracted"), (s * 2 * 3).alias("multiplied"), (s / 4).alias("divided"), F.floor(r).alias("floored"), F.ceil(r).alias("ceiled"), F.abs(s - 25).alias("absolute"))
-
-
 @query("SELECT p_partkey, CAST(pow(p_size, 5) AS BIGINT) AS v FROM part")
 def pow_int(spark, d):
     return table(spark, d, "part").select("p_partkey", S.power_int(F.col("p_size"), F.lit(5)).alias("v"))
@@ -474,17 +414,6 @@ def round_half_away(spark, d):
     return table(spark, d, "part").select("p_partkey", S.round_away((F.col("p_size") - 25) / 2).alias("v"))
 
 
-@query("SELECT p_partkey, p_partkey | p_size AS o, p_partkey & 12 AS a, xor(p_partkey, CAST(p_size AS BIGINT)) AS x FROM part")
-def bitwise(spark, d):
-    p, s = F.col("p_partkey"), F.col("p_size")
-    return table(spark, d, "part").select(p, p.bitwiseOR(s).alias("o"), p.bitwiseAND(F.lit(12)).alias("a"), p.bitwiseXOR(s.cast("long")).alias("x"))
-
-
-@query("SELECT p_brand, bit_or(p_partkey) AS o, bit_and(p_partkey) AS a, bit_xor(p_partkey) AS x FROM part GROUP BY p_brand")
-def bitwise_rows(spark, d):
-    return table(spark, d, "part").groupBy("p_brand").agg(F.bit_or("p_partkey").alias("o"), F.bit_and("p_partkey").alias("a"), F.bit_xor("p_partkey").alias("x"))
-
-
 @query("SELECT p_partkey, (p_partkey >> 2) & 15 AS v, (p_partkey >> 3) & 1 AS b FROM part")
 def bit_slice(spark, d):
     return table(spark, d, "part").select("p_partkey", S.bit_slice(F.col("p_partkey"), 5, 2).alias("v"), S.bit_slice(F.col("p_partkey"), 3).alias("b"))
@@ -497,11 +426,6 @@ def range_list(spark, d):
     return table(spark, d, "part").select("p_partkey", F.when(F.size(up) > 0, S.total(up)).alias("up"), F.size(S.integer_range(s, F.lit(5), -2)).cast("long").alias("down"))
 
 
-@query("SELECT p_partkey, p_brand || '-' || p_type || CAST(p_size AS VARCHAR) AS v FROM part")
-def string_append(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.concat("p_brand", F.lit("-"), "p_type", F.col("p_size").cast("string")).alias("v"))
-
-
 @query("SELECT p_partkey, substr(p_type, 3, 4) AS part, substr(p_type, 2, 1) AS one FROM part")
 def substring(spark, d):
     return table(spark, d, "part").select("p_partkey", S.text_slice(F.col("p_type"), 2, 6).alias("part"), S.text_slice(F.col("p_type"), 1).alias("one"))
@@ -517,11 +441,6 @@ def bits_to_sint(spark, d):
     return table(spark, d, "part").select("p_partkey", S.bits_to_signed(F.bin("p_partkey")).alias("v"))
 
 
-@query("SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS s, CAST(CAST(o_orderkey AS VARCHAR) AS BIGINT) AS i FROM orders")
-def casts(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("s"), F.col("o_orderkey").cast("string").cast("long").alias("i"))
-
-
 @query("SELECT 'int' AS key_type, 'str' AS name_type, 'float' AS price_type")
 def type_name(spark, d):
     kinds = dict(table(spark, d, "part").dtypes)
@@ -538,23 +457,12 @@ def sizes(spark, d):
     return t.where(F.size("q") >= 3).select("l_orderkey", F.transform("q", lambda x: x["l_quantity"]).alias("q"))
 
 
-@query(SIZES + "SELECT l_orderkey, q[1] AS first, q[2] AS second, q[3] AS third, q[-1] AS last, len(q) AS n FROM l")
-def list_access(spark, d):
-    q = F.col("q")
-    return sizes(spark, d).select("l_orderkey", F.element_at(q, 1).alias("first"), F.element_at(q, 2).alias("second"), F.element_at(q, 3).alias("third"), F.element_at(q, -1).alias("last"), F.size(q).cast("long").alias("n"))
-
-
 @query(SIZES + "SELECT l_orderkey, len(q[2:]) AS n, list_sum(q[2:]) AS total FROM l")
 def list_rest(spark, d):
     r = S.rest(F.col("q"))
     return sizes(spark, d).select("l_orderkey", F.size(r).cast("long").alias("n"), F.aggregate(r, F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
-@query(SIZES + "SELECT l_orderkey, list_sum(list_transform(q, lambda x: 2 * x + 1)) AS total FROM l")
-def list_map(spark, d):
-    return sizes(spark, d).select("l_orderkey", F.aggregate(F.transform("q", lambda x: 2 * x + 1), F.lit(0.0), lambda a, x: a + x).alias("total"))
-
-
 @query(SIZES + "SELECT l_orderkey, len(q) - 1 AS n, list_sum(list_transform(range(1, len(q)), lambda i: q[i] * q[i + 1])) AS total FROM l")
 def list_zip(spark, d):
     z = S.zipped(F.col("q"), S.rest(F.col("q")))
@@ -594,43 +502,9 @@ def map_del(spark, d):
     return pairs(spark, d).select("p_partkey", F.size(m).alias("n"), F.map_contains_key(m, "x").alias("has_x"))
 
 
-@query("SELECT p_partkey, 2 * p_partkey AS x, CAST(2 * p_size AS BIGINT) AS y FROM part")
-def map_values(spark, d):
-    m = F.transform_values("m", lambda _, v: 2 * v)
-    return pairs(spark, d).select("p_partkey", m["x"].alias("x"), m["y"].alias("y"))
-
-
 # -- control -----------------------------------------------------------------------------------------------
 
 
-@query("SELECT p_partkey, CASE p_size WHEN 1 THEN 'one' WHEN 2 THEN 'two' ELSE 'default' END AS v FROM part")
-def case_when(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") == 1, "one").when(F.col("p_size") == 2, "two").otherwise("default").alias("v"))
-
-
-@query("SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'middle' ELSE 'large' END AS v FROM part")
-def cond(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") < 10, "small").when(F.col("p_size") < 30, "middle").otherwise("large").alias("v"))
-
-
-@query("SELECT p_partkey, CASE WHEN p_size > 25 THEN p_size END AS w, CASE WHEN NOT p_size > 25 THEN p_size END AS u FROM part")
-def when_unless(spark, d):
-    big = F.col("p_size") > 25
-    return table(spark, d, "part").select("p_partkey", F.when(big, F.col("p_size")).alias("w"), F.when(~big, F.col("p_size")).alias("u"))
-
-
-@query(EV + "SELECT count(*) FILTER (WHERE click + view > 100) AS n0 FROM d")
-def virtual_signal(spark, d):
-    both = click + view
-    return search.count(ev(spark, d), both > 100)
-
-
-@query(EV + ", v AS (SELECT trace_id, idx, CAST(click + view > 100 AS INT) AS b, lag(CAST(click + view > 100 AS INT)) OVER (PARTITION BY trace_id ORDER BY idx) AS was FROM d) SELECT trace_id, idx, b FROM v WHERE was IS NULL OR was <> b")
-def virtual_dump(spark, d):
-    df = evaluated(ev(spark, d), b=(click + view > 100).map(lambda c: c.cast("int"), "int")).select("trace_id", "idx", "b")
-    return suppress_repeats(df, ["trace_id"], "idx", "b")
-
-
 @query(EV + "SELECT trace_id, idx FROM d WHERE click > 40 INTERSECT SELECT trace_id, idx FROM d WHERE view > 40")
 def intersect_idx(spark, d):
     s = ev(spark, d)
@@ -651,8 +525,8 @@ def nth_change(spark, d):
 
 # -- one trace over all rows, dumps, the language ----------------------------------------------------------
 
-EVG = """WITH ev AS (SELECT event_type, floor(value) AS value, row_number() OVER (ORDER BY ts, event_id) - 1 AS idx FROM events),
-d AS (SELECT idx, """ + ", ".join(f"coalesce(last_value(CASE WHEN event_type = '{e}' THEN value END IGNORE NULLS) OVER w, 0) AS {e}" for e in EVENTS) + """ FROM ev WINDOW w AS (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) """
+EVG = """WITH ev AS (SELECT event_type, floor(value) AS value, epoch_us(ts) AS ts, row_number() OVER (ORDER BY ts, event_id) - 1 AS idx FROM events),
+d AS (SELECT idx, ts, """ + ", ".join(f"coalesce(last_value(CASE WHEN event_type = '{e}' THEN value END IGNORE NULLS) OVER w, 0) AS {e}" for e in EVENTS) + """ FROM ev WINDOW w AS (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) """
 
 
 def evg(spark: SparkSession, d: str) -> TraceSet:
@@ -706,11 +580,255 @@ def lang_eval(spark, d):
     return spark.createDataFrame([tuple(run.run(PROGRAM))], "a long, b long, c long, d long")
 
 
-@query("SELECT '(if (> x 0) (do (print x) (print x)) nil)' AS form")
-def macro_expand(spark, d):
+def evs(spark: SparkSession, d: str) -> TraceSet:
+    """Events as one trace whose signals lie in scopes: top.io for click and view, top.core for the others."""
+    name = F.concat(F.when(F.col("event_type").isin("click", "view"), "top.io.").otherwise("top.core."), "event_type")
+    t = table(spark, d, "events").select("event_id", "ts", name.alias("event_type"), F.floor("value").alias("value"))
+    return from_long_global(t, "all", ["ts", "event_id"], "event_type", "value", "ts", "int", 1000)
+
+
+def program(spark: SparkSession, d: str, code: str, schema: str, setup: Callable | None = None) -> DataFrame:
+    """One row: the list that a program over the scoped trace ends with."""
     from sigspark.lang.interp import Interpreter
+    from sigspark.session import Session
+
+    run = Interpreter(Session(spark))
+    run.session.attach("all", evs(spark, d).cached())
+    if setup:
+        setup(run)
+    return spark.createDataFrame([tuple(run.run(code))], schema)
+
+
+@query(EVG + "SELECT count(DISTINCT event_type) AS a, count(DISTINCT event_type) AS b, CAST(bool_or(event_type = 'click') AS BIGINT) AS c, CAST(bool_or(event_type = 'nothing') AS BIGINT) AS d, 64 AS e, 1 AS f, max(idx) AS g, 1 AS h, 'all' AS i, string_agg(DISTINCT CASE WHEN event_type IN ('click', 'view') THEN 'top.io.' ELSE 'top.core.' END || event_type, ' ' ORDER BY CASE WHEN event_type IN ('click', 'view') THEN 'top.io.' ELSE 'top.core.' END || event_type) AS j FROM ev")
+def lang_metadata(spark, d):
+    code = """(list (length SIGNALS) (length SIGNALS-NO-ALIAS) (if (signal? 'top.io.click) 1 0) (if (signal? "click") 1 0) (signal-width 'top.io.view) (signal-width 'nothing) MAX-INDEX (length (loaded-traces)) TRACE-NAME
+      (fold (fn [a x] (if (= a "") x (+ a " " x))) "" (SIGNALS "all")))"""
+    return program(spark, d, code, "a long, b long, c long, d long, e int, f int, g long, h int, i string, j string")
+
+
+@query(EVG + "SELECT 7 AS a, (SELECT CAST(click AS BIGINT) FROM d WHERE idx = 7) AS b, (SELECT ts FROM ev WHERE idx = 7) AS c, 0 AS e, CAST((SELECT max(idx) FROM ev) >= 100000000 AS INT) AS f, 0 AS g, (SELECT CAST(view AS BIGINT) FROM d WHERE idx = 20) AS h, (SELECT CAST(click AS BIGINT) FROM d WHERE idx = 33) AS i, (SELECT CAST(click AS BIGINT) FROM d WHERE idx = 5) AS j, (SELECT CAST(error AS BIGINT) FROM d WHERE idx = 2) AS k")
+def lang_cursor(spark, d):
+    code = """(step 7) (define a INDEX) (define b (get "top.io.click")) (define c TS) (step -100) (define e INDEX) (define f (if (step 100000000) 1 0)) (define h (timeframe (step 20) (get "view")))
+      (list a b c e f INDEX h (sample-at 'click 33) (reval click 5) error@2)"""
+    return program(spark, d, code, "a int, b long, c long, e int, f int, g int, h long, i long, j long, k long")
+
+
+@query(EVG + "SELECT count(DISTINCT event_type) FILTER (WHERE event_type IN ('click', 'view')) AS a, 2 AS b, 'core. io.' AS c, (SELECT count(*) FROM d WHERE click > 40) AS e, 'top.io.' AS f, '3 2' AS g, '' AS h, (SELECT count(*) FROM d WHERE error > 60) AS i FROM ev")
+def lang_scopes(spark, d):
+    code = """(defun joined [l] (fold (fn [a x] (if (= a "") (+ "" x) (+ a " " x))) "" l))
+      (define a (in-scope "top.io." (length LOCAL-SIGNALS))) (define g (joined (all-scopes (length LOCAL-SIGNALS)))) (define f (in-scopes '("top.core." "top.io.") CS))
+      (set-scope "top.") (define c (joined LOCAL-SCOPES)) (unset-scope)
+      (list a (length SCOPES) c (in-scope "top.io." (count (> ~click 40))) f g CS (scoped "top.core." (count (> error 60))))"""
+    return program(spark, d, code, "a long, b int, c string, e long, f string, g string, h string, i long")
+
+
+@query(EVG + "SELECT 'top.io.' AS a, (SELECT count(*) FROM d WHERE view > 40) AS b, (SELECT CAST(error AS BIGINT) FROM d WHERE idx = 50) AS c, (SELECT CAST(click AS BIGINT) FROM d WHERE idx = 50) AS e, 'top.io.' AS f, 5 AS g")
+def lang_groups(spark, d):
+    code = """(define g (groups "click" "view")) (define b (in-groups g (count (> #view 40)))) (define f (in-groups g CG)) (define top.seen 5)
+      (list (first g) b (in-group "top.core." (timeframe (step 50) #error)) (in-group "top.io." (timeframe (step 50) (resolve-group "click"))) f (in-scope "top." (resolve-scope seen)))"""
+    return program(spark, d, code, "a string, b long, c long, e long, f string, g int")
+
+
+@query(EVG + "SELECT (SELECT CAST(purchase AS BIGINT) FROM d WHERE idx = 40) AS a, count(*) FILTER (WHERE signup > 50) AS b, count(*) FILTER (WHERE click > 40) AS c, 0 AS e, count(*) FILTER (WHERE view > 90) AS f FROM d")
+def lang_names(spark, d):
+    code = """(step 40) (define a (get "core.purchase")) (step -40) (define b (count (> (get "signup") 50))) (alias pressed top.io.click) (define c (count (> pressed 40))) (unalias pressed)
+      (list a b c (if (defined? 'pressed) 1 0) (count (> top.io.view 90)))"""
+    return program(spark, d, code, "a long, b long, c long, e int, f long")
+
+
+@query(EVG + ", n AS (SELECT count(*) FILTER (WHERE click > 40) AS n FROM d) SELECT n + 2 AS a, CASE n % 3 WHEN 0 THEN 'zero' WHEN 1 THEN 'one' ELSE 'default' END AS b, CASE WHEN n < 10 THEN 'small' WHEN n < 1000 THEN 'middle' ELSE 'large' END AS c, CASE WHEN n > 5 THEN n END AS e, CASE WHEN n <= 5 THEN n END AS f, (SELECT count(*) FROM d WHERE idx BETWEEN 1 AND 30 AND click > 40) AS g, n * n AS h, n + 1 AS i, 3 * n AS j, n - 1 AS k, 9 AS l, '(if (> x 0) (do (print x) (print x)) nil)' AS m, 2 * n AS o, 0 AS p FROM n")
+def lang_control(spark, d):
     from sigspark.lang.reader import show
+
+    code = """(define n (count (> click 40))) (define h 0) (define i 0)
+      (timeframe (while (< i 30) (do (step 1) (set! i INDEX) (when (> (get "click") 40) (set! h (+ h 1))))))
+      (defmacro twice-if [c a] `(if ,c (do ,a ,a) nil)) (defun sq [x] (* x x)) (define total 0) (for/list (x (list 2 3 4)) (set! total (+ total x)))
+      (defmacro unless2 [c a] (let ([v (gensym)]) `(let ([,v ,c]) (if ,v 0 ,a))))
+      (list (let ([a n] [b 2]) (+ a b)) (case (mod n 3) [0 "zero"] [1 "one"] [default "default"]) (cond [(< n 10) "small"] [(< n 1000) "middle"] [else "large"]) (when (> n 5) n) (unless (> n 5) n)
+        h (call 'sq n) ((fn [x] (+ x 1)) n) (eval (parse "(* 3 n)")) (eval '(- n 1)) total (macroexpand '(twice-if (> x 0) (print x))) (twice-if #t (* 2 n)) (unless2 #t 1))"""
+    from sigspark.lang.interp import Interpreter
     from sigspark.session import Session
 
-    form = Interpreter(Session(spark)).run("(defmacro twice-if [c a] `(if ,c (do ,a ,a) nil)) (macroexpand '(twice-if (> x 0) (print x)))")
-    return spark.createDataFrame([(show(form),)], "form string")
+    run = Interpreter(Session(spark))
+    run.session.attach("all", evs(spark, d).cached())
+    out = run.run(code)
+    return spark.createDataFrame([tuple(show(x) if k == 11 else x for k, x in enumerate(out))], "a long, b string, c string, e long, f long, g long, h long, i long, j long, k long, l long, m string, o long, p int")
+
+
+@query(EVG + ", n AS (SELECT count(*) FILTER (WHERE click > 40) AS n, count(*) FILTER (WHERE view > 70) AS m FROM d) SELECT n + m + 3 AS a, n - m AS b, -n AS c, n * m * 2 AS e, n / 4 AS f, CAST(floor(n / 4) AS BIGINT) AS g, CAST(ceil(n / 4) AS BIGINT) AS h, CAST(round(n / 4) AS BIGINT) AS i, abs(m - n) AS j, n | m AS k, n & m AS l, xor(n, m) AS o, (m - n) % 7 AS p, pow(n % 10, 3) :: BIGINT AS q, n % 10 AS r, (n > m) :: INT AS s, (n = m) :: INT AS t, n + 0.5 AS u FROM n")
+def lang_math(spark, d):
+    code = """(define n (count (> click 40))) (define m (count (> view 70)))
+      (list (+ n m 3) (- n m) (- n) (* n m 2) (/ n 4) (floor (/ n 4)) (ceil (/ n 4)) (round (/ n 4)) (abs (- m n)) (bor n m) (band n m) (bxor n m) (mod (- m n) 7) (** (mod n 10) 3) (length (range (mod n 10))) (if (> n m) 1 0) (if (= n m) 1 0) (+ n 0.5))"""
+    return program(spark, d, code, "a long, b long, c long, e long, f double, g long, h long, i long, j long, k long, l long, o long, p long, q long, r long, s int, t int, u double")
+
+
+@query(EVG + ", n AS (SELECT count(*) FILTER (WHERE click > 40) AS n FROM d) SELECT 'n=' || n || 'x' AS a, substr(n || 'abcdef', 2, 3) AS b, n AS c, n || '' AS e, n || '.5' AS f, bin(n) AS g, n - CAST(pow(2, length(bin(n))) AS BIGINT) AS h, '<class ''int''>' AS i, '<class ''str''>' AS j, 1 AS k, 0 AS l, 1 AS m, 1 AS o, length('' || n) AS p, '(1 \"a\" b nil)' AS q FROM n")
+def lang_text(spark, d):
+    from sigspark.lang.interp import Interpreter
+    from sigspark.lang.reader import show
+    from sigspark.session import Session
+
+    code = """(define n (count (> click 40))) (define s (int->string n))
+      (list (string-append "n=" n 'x) (slice (+ s "abcdef") 1 4) (string->int s) (symbol->string (string->symbol s)) (int->string (+ n 0.5)) (convert/bin n) (bits->sint (convert/bin n)) (type n) (type s)
+        (if (&& (int? n) (string? s) (symbol? 'n) (list? ())) 1 0) (if (atom? (list n)) 1 0) (if (null? ()) 1 0) (if (empty? ()) 1 0) (length s) (list 1 "a" 'b nil))"""
+    run = Interpreter(Session(spark))
+    run.session.attach("all", evs(spark, d).cached())
+    out = run.run(code)
+    return spark.createDataFrame([tuple(show(x) if k == 14 else x for k, x in enumerate(out))], "a string, b string, c long, e string, f string, g string, h long, i string, j string, k int, l int, m int, o int, p int, q string")
+
+
+@query(EVG + ", f AS (SELECT idx, row_number() OVER (ORDER BY idx) AS k, row_number() OVER (ORDER BY idx DESC) AS r FROM d WHERE purchase > 90) SELECT min(idx) FILTER (WHERE k = 1) AS a, min(idx) FILTER (WHERE k = 2) AS b, min(idx) FILTER (WHERE k = 3) AS c, min(idx) FILTER (WHERE r = 1) AS e, count(*) - 1 AS f, CAST(sum(2 * idx + 1) AS BIGINT) AS g, CAST(sum(idx) AS BIGINT) AS h, max(idx) AS i, min(idx) AS j, avg(idx) AS k, CAST(sum(idx) FILTER (WHERE k IN (2, 3)) AS BIGINT) AS l, 1 AS m, CAST(sum(idx * k) AS BIGINT) AS o, CAST(sum(-idx) AS BIGINT) AS p, count(*) AS q FROM f")
+def lang_lists(spark, d):
+    code = """(define f (find (> purchase 90))) (define z (zip f (range 1 (+ 1 (length f)))))
+      (list (first f) (second f) (third f) (last f) (length (rest f)) (sum (map (fn [x] (+ 1 (* 2 x))) f)) (fold + 0 f) (max f) (min f) (average f) (sum (slice f 1 3)) (if (in (second f) f) 1 0)
+        (fold (fn [a p] (+ a (* (first p) (second p)))) 0 z) (sum (for/list (x f) 0 (- x))) (length (map + f f)))"""
+    return program(spark, d, code, "a long, b long, c long, e long, f long, g long, h long, i long, j long, k double, l long, m int, o long, p long, q long")
+
+
+@query(EVG + ", n AS (SELECT count(*) FILTER (WHERE click > 40) AS n FROM d) SELECT n AS a, 7 AS b, n + 7 AS c, 5 AS e, 2 AS f, 2 * n AS g, 1 AS h FROM n")
+def lang_maps(spark, d):
+    from sigspark.lang.interp import LangError
+
+    def setup(run):
+        try:
+            run.run('(define missing 0) (geta (array "x" 1) "y")')
+        except LangError:
+            run.run("(set! missing 1)")
+
+    code = """(define n (count (> click 40))) (define m (array ["x" n] ["y" 2])) (define k (seta m "y" 7))
+      (list (geta m "x") (geta k "y") (+ (geta (dela k "y") "x") (geta k "y")) (geta/default m 5 "z") (geta m "y") (geta (mapa m (fn [v] (* 2 v))) "x") missing)"""
+    return program(spark, d, code, "a long, b long, c long, e int, f int, g long, h int", setup)
+
+
+@query(EVG + "SELECT count(*) FILTER (WHERE click + view > 100) AS a, 1 AS b, (SELECT CAST(click + view AS BIGINT) FROM d WHERE idx = 12) AS c FROM d")
+def lang_virtual(spark, d):
+    code = """(defsig both (+ click view)) (list (count (> both 100)) (length VIRTUAL-SIGNALS) (timeframe (step 12) both))"""
+    return program(spark, d, code, "a long, b int, c long")
+
+
+@query(EVG + ", v AS (SELECT idx, CAST(click + view > 100 AS BIGINT) AS b FROM d) SELECT 'top.hot' AS name, idx, b AS value FROM (SELECT *, lag(b) OVER (ORDER BY idx) AS was FROM v) WHERE was IS DISTINCT FROM b")
+def dump_trace(spark, d):
+    """A virtual signal written as a dump and loaded again."""
+    from sigspark.lang.interp import Interpreter
+    from sigspark.session import Session
+    from sigspark.storage import shared_folder
+
+    run = Interpreter(Session(spark))
+    run.session.attach("all", evs(spark, d).cached())
+    path = f"{shared_folder(spark, 'virtual')}/hot.vcd"
+    run.run(f'(defsig hot (> (+ click view) 100)) (dump-trace "{path}") (load "{path}" "v")')
+    return run.session.traces["v"].data.changes.select("name", "idx", F.col("ival").alias("value"))
+
+
+@query(EVG + "SELECT (SELECT CAST(sum(view) AS BIGINT) FROM d WHERE idx < 60) AS a, (SELECT CAST(max(view) AS BIGINT) FROM d WHERE idx BETWEEN 10 AND 59) AS b, (SELECT CAST(sum(click) FILTER (WHERE error > 50) AS BIGINT) FROM d) AS c, (SELECT max(idx) FROM d WHERE signup > 90) AS e")
+def lang_folds(spark, d):
+    code = """(define c 0) (whenever (> error 50) (set! c (+ c click))) (define e (whenever (> signup 90) INDEX))
+      (list (fold/signal + 0 (= INDEX 60) 'view) (timeframe (step 10) (fold/signal max 0 (= INDEX 60) 'view)) c e)"""
+    return program(spark, d, code, "a long, b long, c long, e long")
+
+
+@query(EVG + "SELECT 2 AS a, 4 AS b, 'all n' AS c, 'n' AS e, count(*) FILTER (WHERE idx BETWEEN 10 AND 29 AND click > 40) AS f, 19 AS g FROM d")
+def lang_traces(spark, d):
+    code = """(new-trace 'n 5) (define a (length (loaded-traces))) (define c (+ (first (loaded-traces)) " " (second (loaded-traces)))) (define b (MAX-INDEX "n")) (trim-trace "all" 10 29) (define f (count (> click 40))) (define g (MAX-INDEX "all")) (unload "all")
+      (list a b c TRACE-NAME f g)"""
+    return program(spark, d, code, "a int, b int, c string, e string, f long, g int")
+
+
+@query(EVG + "SELECT count(*) FILTER (WHERE click > 40) AS a, count(*) FILTER (WHERE click > 40) + 1 AS b, 3 AS c, 'a1 002a 3.14 101' AS e FROM d")
+def lang_files(spark, d):
+    """Scripts from files, and formatted output."""
+    import tempfile
+    from pathlib import Path
+
+    from sigspark.lang.builtins import formatted
+
+    with tempfile.TemporaryDirectory() as folder:  # read on the driver only
+        Path(folder, "lib.lisp").write_text("(define one 1) ; a comment\n(define hits (count (> click 40)))\n(define three (+ one 2))\n")
+        code = f"""(eval-file "{folder}/lib.lisp") (define b (+ hits one)) (require lib) (list hits b three)"""
+        row = program(spark, d, code, "a long, b long, c int", lambda run: setattr(run, "path", [folder])).first()
+    text = formatted("a%d %04x %.2f %b", [1, 42, 3.14159, 5])
+    return spark.createDataFrame([(*row, text)], "a long, b long, c int, e string")
+
+
+def _dump(spark: SparkSession, d: str, compression: str = "none") -> str:
+    from sigspark.sources.sink import vcd_lines
+    from sigspark.storage import shared_folder
+
+    s = evg(spark, d)
+    path = f"{shared_folder(spark, 'dump')}/all.vcd"
+    lines = vcd_lines(s.changes.select("idx", "name", F.bin("ival").alias("bits")), s.timestamps.select("idx", "ts"), [(e, 64, "integer") for e in EVENTS])
+    lines.orderBy("idx", "place").select("value").write.option("compression", compression).text(path)
+    return path
+
+
+CHANGED = "SELECT 'top.' || event_type AS name, idx, CAST(value AS BIGINT) AS value FROM (SELECT *, lag(value) OVER (PARTITION BY event_type ORDER BY idx) AS was FROM ev) WHERE was IS DISTINCT FROM value"
+
+
+@query(EVG + CHANGED)
+def gz_dump(spark, d):
+    """A dump of gzip parts."""
+    from sigspark.sources.vcd import read_vcd
+
+    return read_vcd(spark, _dump(spark, d, "gzip")).changes.select("name", "idx", F.col("ival").alias("value"))
+
+
+@query(EVG + CHANGED)
+def fst_roundtrip(spark, d):
+    """A dump converted to a binary dump, and that read back: the binary writer and reader."""
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from sigspark.sources.fst import read_fst, vcd_to_fst
+    from sigspark.storage import shared_folder
+
+    folder = Path(urlparse(shared_folder(spark, "binary")).path)  # the binary reader needs a path that driver and executors open
+    folder.mkdir(parents=True)
+    vcd_to_fst(spark, _dump(spark, d), str(folder / "all.fst"))
+    s = read_fst(spark, str(folder / "all.fst"))
+    w = Window.partitionBy("name").orderBy("idx")
+    rows = s.changes.where("bits not rlike '[^01]'").select("name", "idx", F.col("ival").alias("value"))
+    return rows.withColumn("was", F.lag("value").over(w)).where("not (was <=> value)").drop("was")
+
+
+@query("WITH k AS (SELECT event_type, value, row_number() OVER (ORDER BY ts, event_id) - 1 AS idx FROM events WHERE event_type IN ('click', 'view', 'error')), b AS (SELECT idx, 'top.' || event_type AS name, CASE event_type WHEN 'click' THEN CAST(CAST(value > 50 AS INT) AS VARCHAR) WHEN 'error' THEN CASE WHEN CAST(floor(value) AS INT) % 5 = 0 THEN 'xz1' ELSE bin(CAST(floor(value) AS BIGINT)) END ELSE CAST(floor(value) AS BIGINT) || '.5' END AS t FROM k), c AS (SELECT *, lag(t) OVER (PARTITION BY name ORDER BY idx) AS was FROM b) SELECT name, idx, CASE WHEN name = 'top.view' THEN NULL ELSE t END AS bits, CASE WHEN name = 'top.view' THEN 0 WHEN t = 'xz1' THEN 1 ELSE CAST(list_reduce(list_prepend(CAST(0 AS BIGINT), [CAST(x AS BIGINT) FOR x IN string_split(t, '')]), lambda a, x: 2 * a + x) AS BIGINT) END AS ival, CASE WHEN name = 'top.view' OR t = 'xz1' THEN NULL ELSE CAST(list_reduce(list_prepend(CAST(0 AS BIGINT), [CAST(x AS BIGINT) FOR x IN string_split(t, '')]), lambda a, x: 2 * a + x) AS BIGINT) END AS strict FROM c WHERE was IS DISTINCT FROM t".replace("CAST(x AS BIGINT) FOR", "CASE WHEN x = '1' THEN 1::BIGINT ELSE 0::BIGINT END FOR"))
+def vcd_kinds(spark, d):
+    """Scalars, vectors with unknown bits and reals through a dump."""
+    from sigspark.sources.sink import vcd_lines, write_vcd
+    from sigspark.sources.vcd import read_vcd
+    from sigspark.storage import shared_folder
+
+    t = table(spark, d, "events").where("event_type in ('click', 'view', 'error')").select("event_id", "ts", "event_type", "value")
+    s = from_long_global(t, "all", ["ts", "event_id"], "event_type", "value", "ts", "real", 1000)
+    whole = F.floor("rval").cast("long")
+    bits = F.when(F.col("name") == "click", (F.col("rval") > 50).cast("int").cast("string")).when(F.col("name") == "error", F.when(whole % 5 == 0, "xz1").otherwise(F.bin(whole))).otherwise(F.concat(whole.cast("string"), F.lit(".5")))
+    path = f"{shared_folder(spark, 'kinds')}/all.vcd"
+    write_vcd(vcd_lines(s.changes.select("idx", "name", bits.alias("bits")), s.timestamps.select("idx", "ts"), [("click", 1, "wire"), ("error", 8, "wire"), ("view", 64, "real")]), path)
+    return read_vcd(spark, path).changes.select("name", "idx", "bits", "ival", F.col("ival_strict").alias("strict"))
+
+
+@query(EVG + ", c AS (SELECT *, lag(value) OVER (PARTITION BY event_type ORDER BY idx) AS was FROM ev) SELECT event_type AS name, idx, lead(idx) OVER (PARTITION BY event_type ORDER BY idx) AS end_idx, CAST(CAST(value AS BIGINT) AS VARCHAR) AS value FROM c WHERE was IS DISTINCT FROM value")
+def convert_stream(spark, d):
+    """Changes that arrive in a folder, converted to intervals by a stream; run again, it goes on."""
+    from sigspark.storage import shared_folder
+    from sigspark.streaming.live import convert, converted
+
+    root = shared_folder(spark, "live")
+    changes = evg(spark, d).changes.select("trace_id", "name", "idx", F.col("ival").cast("string").alias("value"))
+    half = changes.agg(F.floor(F.avg("idx"))).first()[0]
+    for part in (f"idx < {half}", f"idx >= {half}"):
+        changes.where(part).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        convert(spark, f"{root}/in", f"{root}/out", f"{root}/state")
+    return converted(spark, f"{root}/out").select("name", "idx", "end_idx", "value")
+
+
+@query("SELECT 'test.sig' || i AS name, (SELECT count(*) FROM range(1, n + 1) r(t) WHERE (t + i) % 2 = 1) AS ones FROM (SELECT count(*) AS n FROM region), range(1, 4) s(i)")
+def generated_dump(spark, d):
+    """The generator's dump of as many times as there are regions."""
+    from sigspark.sources import synthetic
+    from sigspark.sources.vcd import read_vcd
+    from sigspark.storage import shared_folder
+
+    path = f"{shared_folder(spark, 'toggle')}/all.vcd"
+    synthetic.write_toggle(spark, path, 3, table(spark, d, "region").count())
+    n = search.count(read_vcd(spark, path), *[sig(f"test.sig{i}") == 1 for i in (1, 2, 3)])
+    return n.select(F.explode(F.array(*[F.struct(F.lit(f"test.sig{i}").alias("name"), F.col(f"n{i - 1}").alias("ones")) for i in (1, 2, 3)])).alias("r")).select("r.*")

@@ -124,3 +124,79 @@ def test_plan_reads_only_named_signals(spark, tmp_path, bucket):
     if bucket is None:  # one exchange of rows serves grouping and windows
         assert plan.count("hashpartitioning") == 1
     assert "EqualTo(name,a)" in plan and "rval" not in plan.split("ReadSchema")[1]
+
+
+def long_axis(spark, n):
+    """One trace of n indices: `on` is 1 all the time, `late` from the middle on, `beat` at a few places."""
+    s = build(spark, {"t0": {"a": {0: 1}, "b": {n // 2: 1}, "c": {5: 1, 6: 0, n - 9: 1, n - 7: 0}}}, {"t0": 1}, 1 << 18)
+    s.traces = spark.createDataFrame([("t0", "", 0, 0, "", "", n - 1)], TRACES)
+    s.timestamps = spark.range(n).selectExpr("'t0' as trace_id", "id as idx", "id * 10 as ts")
+    return s
+
+
+def test_axis_of_a_published_dump(spark):
+    """385,314,044 indices: what is asked for is expanded, not the axis; an index far out is found at once."""
+    import time
+
+    n = 385_314_044
+    s = long_axis(spark, n)
+    began = time.time()
+    assert [r.idx for r in search.find(s, sig("a") == 1, 10).collect()] == list(range(10))
+    assert [r.idx for r in search.find(s, sig("b") == 1, 3).collect()] == [n // 2, n // 2 + 1, n // 2 + 2]
+    assert [r.idx for r in search.find(s, sig("a") == 1, 2, n - 1).collect()] == [n - 1]
+    assert [r.idx for r in search.find(s, sig("c") == 1).collect()] == [5, n - 9, n - 8]
+    assert search.count(s, sig("a") == 1, sig("b") == 1).first()[:] == (n, n - n // 2)
+    assert search.fold_signal(s, "a", "sum", sig("b") == 1).first().value == n // 2
+    lat = bus.latency(s, sig("a") == 1, sig("c") == 1, 1000).first()
+    assert (lat.samples, lat.least, lat.largest) == (1 + (n - 10) // 1000, min(5, (n - 9) % 1000 or 1000), n - 9 - 1000)
+    assert {r.opcode: r.n for r in bus.mix(s, sig("a") == 1, sig("b"), n - 5).collect()} == {0: n // 2, 1: n - 5 - n // 2}
+    assert time.time() - began < 60
+
+
+def test_expansion_in_chunks(spark, monkeypatch):
+    from sigspark.operators import held
+
+    monkeypatch.setattr(held, "CHUNK", 3)
+    df = spark.createDataFrame([("x", 0, 10), ("y", 4, 5), ("z", 3, 3)], "k string, idx long, end_idx long")
+    assert sorted(map(tuple, held.expand(df).collect())) == [("x", i) for i in range(10)] + [("y", 4)]
+
+
+@pytest.mark.parametrize("bucket", [None, 1, 5, 1000])
+def test_buckets_change_nothing(spark, bucket):
+    """Repeats, as-of values, running totals, latency and mixes, over buckets, against plain loops."""
+    from sigspark.operators.held import running_total, suppress_repeats
+
+    rng = random.Random(9)
+    logs = {t: {x: {i: rng.randint(0, 2) for i in sorted(rng.sample(range(60), 20))} for x in NAMES} for t in ("t0", "t1")}
+    s = build(spark, logs, {"t0": 60, "t1": 45}, bucket)
+    logs = {t: {x: {i: v for i, v in own.items() if t == "t0" or i < 45} for x, own in log.items()} for t, log in logs.items()}
+    s.changes = s.changes.where("trace_id = 't0' or idx < 45")
+    rows = s.changes.where("name = 'a'").select("trace_id", "idx", "ival")
+    want = [(t, i, v) for t, log in logs.items() for k, (i, v) in enumerate(sorted(log["a"].items())) if not k or sorted(log["a"].items())[k - 1][1] != v]
+    assert sorted(map(tuple, suppress_repeats(rows, ["trace_id"], "idx", "ival", bucket).collect())) == want
+    at = s.timestamps.select("trace_id", "idx")
+    assert sorted(map(tuple, search.samples(s, "b", at).collect())) == [(t, i, held(logs[t], "b", i)) for t in logs for i in range(60 if t == "t0" else 45)]
+    got = running_total(rows, ["trace_id"], "idx", "ival", "seen", bucket).collect()
+    assert sorted((r.trace_id, r.idx, r.seen) for r in got) == [(t, i, sum(v for j, v in log["a"].items() if j < i)) for t, log in logs.items() for i in sorted(log["a"])]
+    for every in (1, 3):
+        want = {}
+        for t, log in logs.items():
+            n = 60 if t == "t0" else 45
+            asked = [i for i in range(n) if held(log, "a", i) == 1][::every]
+            d = [min((j - i for j in range(i + 1, n) if held(log, "b", j) == 2), default=None) for i in asked]
+            if d := [x for x in d if x is not None]:
+                want[t] = (len(d), min(d), max(d), sum(d))
+        assert {r.trace_id: (r.samples, r.least, r.largest, r.total) for r in bus.latency(s, sig("a") == 1, sig("b") == 2, every).collect()} == want
+    first = [held(log, "c", i) for t, log in logs.items() for i in [i for i in range(60 if t == "t0" else 45) if held(log, "a", i) == 1][:7]]
+    assert {r.opcode: r.n for r in bus.mix(s, sig("a") == 1, sig("c"), 7).collect()} == {v: first.count(v) for v in set(first)}
+
+
+def test_no_window_holds_a_trace(spark):
+    """With buckets, every window of rows is keyed by a bucket, or runs over a row a bucket."""
+    import re
+
+    s = build(spark, {"t0": {"a": {0: 1, 3: 0}, "b": {2: 1}}}, {"t0": 9}, 4)
+    for df in (search.fold_signal(s, "a", "sum", sig("b") == 1), bus.latency(s, sig("a") == 1, sig("b") == 1), bus.mix(s, sig("a") == 1, sig("b"), 2), search.samples(s, "a", s.timestamps.select("trace_id", "idx"))):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        for keys, order in re.findall(r"Window \[.*\], \[([^\]]*)\], \[([^\]]*)\]", plan):
+            assert "_b#" in keys or order.startswith("_b#"), (keys, order)
