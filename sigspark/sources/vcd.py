@@ -109,15 +109,19 @@ def as_int(bits: Column, strict: bool = False) -> Column:
     return F.when(~bits.rlike("[^01]"), v) if strict else v
 
 
+#: Bits of a split's number that are its offset in its file.
+OFFSET_BITS = 44
+
+
 def _lines(records: DataFrame) -> DataFrame:
-    """The lines of records: `seg` (the split), `pos` (the record's place in its task), `n` (the line's in the record), `line`, and the file and its offset for first lines.
+    """The lines of records (value, seg): `seg` (the split), `pos` (the record's place in its task), `n` (the line's in the record) and `line`.
 
     The first line of a record is its time; that of a file's first record may be anything.
     """
     text = F.when(F.contains("value", F.lit("\r")) | F.contains("value", F.lit("\t")), F.translate("value", "\t\r", " ")).otherwise(F.col("value"))
     text = F.when(F.contains("value", F.lit("$comment")), F.regexp_replace(text, COMMENT, "")).otherwise(text)
-    cut = records.select("file", "start", F.xxhash64("file", "start").alias("seg"), F.monotonically_increasing_id().alias("pos"), F.split(text, "\n").alias("lines"))
-    return cut.select("file", "start", "seg", "pos", F.posexplode("lines").alias("n", "raw")).withColumn("line", F.trim("raw")).drop("raw")
+    cut = records.select("seg", F.monotonically_increasing_id().alias("pos"), F.split(text, "\n").alias("lines"))
+    return cut.select("seg", "pos", F.posexplode("lines").alias("n", "raw")).withColumn("line", F.trim("raw")).drop("raw")
 
 
 def _values(lines: DataFrame) -> DataFrame:
@@ -133,17 +137,23 @@ def _values(lines: DataFrame) -> DataFrame:
     return lines.withColumn("code", code).withColumn("bits", bits)
 
 
-#: Columns of the store; a record's first line has an empty code, and only it has file and start.
-STORE = "seg long, pos long, n int, code string, bits string, file string, start long"
+#: Columns of the store; a record's first line has an empty code.
+STORE = "seg long, pos long, n int, code string, bits string"
 
 
 def write_parsed(spark: SparkSession, path: str, target: str) -> None:
-    """One pass over the dump: a row for each value and for each record's first line, in the dump's order."""
-    records = spark.read.option("lineSep", "\n#").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
-    head = F.col("n") == 0
-    of = lambda a, b: F.when(head, a).otherwise(b)
-    rows = _values(_lines(records)).select("seg", "pos", "n", of(F.lit(""), F.col("code")).alias("code"), of(F.col("line"), F.col("bits")).alias("bits"), of(F.col("file"), None).alias("file"), of(F.col("start"), None).alias("start"))
-    rows.write.parquet(target)  # a filter on code would make every line be parsed twice
+    """One pass over the dump: a row for each value and for each record's first line, in the dump's order.
+
+    seg is the file's place in name order and the split's offset in it, so splits are numbered in the dump's order.
+    """
+    read = spark.read.option("lineSep", "\n#").text(path)
+    files = spark.createDataFrame([(f.rsplit("/", 1)[-1], i) for i, f in enumerate(sorted(read.inputFiles()))] or [("", 0)], "file string, number long")  # a row for each part
+    records = read.select("value", F.substring_index("_metadata.file_path", "/", -1).alias("file"), F.col("_metadata.file_block_start").alias("start")).join(F.broadcast(files), "file", "left")
+    number = F.coalesce("number", F.raise_error(F.concat(F.lit("a part that was not listed: "), "file")).cast("long"))
+    rows = _values(_lines(records.select("value", (F.shiftleft(number, OFFSET_BITS) + F.col("start")).alias("seg"))))
+    of = lambda a, b: F.when(F.col("n") == 0, a).otherwise(b)
+    # a filter on code would make every line be parsed twice
+    rows.select("seg", "pos", "n", of(F.lit(""), F.col("code")).alias("code"), of(F.col("line"), F.col("bits")).alias("bits")).write.parquet(target)
 
 
 def read_vcd(spark: SparkSession, path: str, trace_id: str = "t0", load_order: int = 0, bucket: int = 1 << 18, store: str | None = None) -> TraceSet:
@@ -158,11 +168,11 @@ def read_vcd(spark: SparkSession, path: str, trace_id: str = "t0", load_order: i
     write_parsed(spark, path, store)
     rows = spark.read.schema(STORE).parquet(store)
     time = F.col("bits").rlike(r"^#?\d")
-    found = rows.where("code = ''").groupBy("seg").agg(F.min("file").alias("file"), F.min("start").alias("start"), F.min("pos").alias("first"), F.count(F.lit(1)).alias("rows"), F.min_by("bits", "pos").alias("line"), F.sort_array(F.collect_list(F.when(~time, F.col("pos")))).alias("odd")).collect()  # a row for each split
+    found = rows.where("code = ''").groupBy("seg").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("rows"), F.min_by("bits", "pos").alias("line"), F.sort_array(F.collect_list(F.when(~time, F.col("pos")))).alias("odd")).collect()  # a row for each split
     splits, loose, before = [], [], 0
-    for i, r in enumerate(sorted(found, key=lambda r: (r.file, r.start))):
+    for i, r in enumerate(sorted(found, key=lambda r: r.seg)):
         # records that are no times: those of the header, or what a part begins with before its first time
-        none = h.records + 1 if i == 0 else int(r.start == 0 and not r.line.startswith("#"))
+        none = h.records + 1 if i == 0 else int(r.seg % (1 << OFFSET_BITS) == 0 and not r.line.startswith("#"))
         odd = [p - r.first for p in r.odd if p >= r.first + none]  # lines that begin with # without being times
         splits.append((r.seg, i, r.first, before - none, none, i == 0, odd))
         if none and i:
