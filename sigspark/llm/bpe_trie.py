@@ -33,7 +33,7 @@ MARKS = frozenset(".,;:!?")
 SPACED = re.compile(r"\s ")
 #: Bytes of encoded pieces that a worker keeps, by an estimate of ENTRY bytes a piece beside its text and ids, in two halves: when the
 #: young half is full it becomes the old one, and what the old one had and was not used again is gone. Pairs and transitions kept.
-CACHE_BYTES, ENTRY, KEPT = 70_000_000, 200, 150_000
+CACHE_BYTES, ENTRY, KEPT = 110_000_000, 200, 300_000
 #: Characters of texts whose pieces are gathered at a time.
 BLOCK_CHARS = 1_000_000
 
